@@ -1,0 +1,6 @@
+"""All core queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
