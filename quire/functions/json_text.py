@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +13,11 @@ from pyspark.sql import functions as F
 from quire.functions.text import strip
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _fixed(text: Column) -> Column:
     """Literals of other notations and trailing commas put right."""
     for word, literal in (("None", "null"), ("True", "true"), ("False", "false")):
@@ -26,17 +32,19 @@ def repair_json(content: Column) -> Column:
     single quotes; else the widest ``{...}``, else the widest ``[...]``, repaired likewise.
     """
     bare = F.regexp_replace(F.regexp_replace(strip(content), r"\A```(?:json)?\s*", ""), r"\s*```\z", "")
-    clean = _fixed(strip(bare))
 
     def valid(text: Column) -> Column:
         return F.when((F.length(text) > 0) & F.try_parse_json(text).isNotNull(), text)
 
-    def quoted(text: Column) -> Column:
+    def read(text: Column) -> Column:
         single = ~text.contains('"') & text.contains("'")
-        return F.when(single, valid(F.translate(text, "'", '"')))
+        return F.coalesce(valid(text), F.when(single, let(F.translate(text, "'", '"'), valid)))
+
+    def found(clean: Column) -> Column:
+        widest = (F.regexp_extract(clean, p, 0) for p in (r"(?s)\{.*\}", r"(?s)\[.*\]"))
+        return F.coalesce(read(clean), *(let(part, read) for part in widest))
 
-    found = [clean, *(F.regexp_extract(clean, p, 0) for p in (r"(?s)\{.*\}", r"(?s)\[.*\]"))]
-    return F.coalesce(*[f(x) for x in found for f in (valid, quoted)])
+    return let(_fixed(strip(bare)), found)
 
 
 def extract_json(content: str) -> object:

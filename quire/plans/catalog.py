@@ -1,6 +1,523 @@
-"""All core queries and their SQL."""
+"""All core queries over the project's tables, each with SQL of the same result where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire.functions import json_text, text
+from quire.operators import chunk, markdown, search, toc, tree, verify
+from quire.plans import training
+from quire.plans.build import TreeBuilder
+from quire.sources import pages as page_source
+from quire.sources import records
+from quire.runtime import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
+
+# White space as the engine strips it, for the SQL side.
+WS = r"[\s\x0b\x1c-\x1f\x85\xa0\p{Z}]"
+STRIP = lambda c: rf"regexp_replace({c}, '^{WS}+|{WS}+$', '', 'g')"
+SQUEEZE = lambda c: rf"regexp_replace(lower({c}), '{WS}+', '', 'g')"
+TOKENS = lambda c: f"CASE WHEN length({c}) = 0 THEN 0 ELSE greatest(1, length({c}) // 4) END"
+
+
+def _pages_sql(name: str, relation: str, key: str, column: str) -> str:
+    return f"""{name} AS (
+        SELECT doc_id, CAST(i + 1 AS INT) AS page_number, array_to_string(list_slice(lines, i * 4 + 1, i * 4 + 4), chr(10)) AS text
+        FROM (SELECT {key} AS doc_id, string_split({column}, chr(10)) AS lines FROM {relation} WHERE {column} IS NOT NULL) d,
+             unnest(range(CAST(ceil(len(lines) / 4.0) AS BIGINT))) AS u(i))"""
+
+
+DOC_PAGES = _pages_sql("doc_pages", "documents", "doc_id", "text")
+PAIR_PAGES = _pages_sql("pair_pages", "(SELECT DISTINCT pair_id, document_text FROM training)", "pair_id", "document_text")
+ITEMS = """items AS (
+        SELECT pair_id AS doc_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY pos, node_key) AS INT) AS pos,
+               structure, title, start_index AS physical_index, end_index, summary
+        FROM (SELECT DISTINCT node_key, pair_id, pos, structure, title, start_index, end_index, summary FROM training_nodes)),
+    totals AS (SELECT pair_id AS doc_id, max(page_count) AS total FROM training GROUP BY 1),
+    valid AS (SELECT i.*, total, CASE WHEN i.pos % 3 = 0 THEN 'no' ELSE 'yes' END AS appear_start
+              FROM items i JOIN totals USING (doc_id) WHERE physical_index BETWEEN 1 AND total)"""
+RANGES = """ranges AS (
+        SELECT doc_id, pos, structure, title, summary, physical_index AS start_index,
+               greatest(physical_index, CASE WHEN nxt IS NULL THEN total WHEN nxt_start = 'yes' THEN nxt - 1 ELSE nxt END) AS end_index
+        FROM (SELECT *, lead(physical_index) OVER w AS nxt, lead(appear_start) OVER w AS nxt_start
+              FROM valid WINDOW w AS (PARTITION BY doc_id ORDER BY pos)))"""
+PARENTS = r"""keyed AS (
+        SELECT *, CASE WHEN structure LIKE '%.%' THEN nullif(regexp_extract(structure, '(?s)^(.*)\.[^.]*$', 1), '') END AS parent_key FROM ranges),
+    tree AS (
+        SELECT c.doc_id, c.pos, any_value(c.title) AS title, any_value(c.summary) AS summary, any_value(c.start_index) AS start_index,
+               any_value(c.end_index) AS end_index, max(p.pos) AS parent_pos
+        FROM keyed c LEFT JOIN keyed p ON p.doc_id = c.doc_id AND p.structure = c.parent_key AND p.pos < c.pos GROUP BY 1, 2)"""
+PATHS = """paths AS (
+        SELECT doc_id, pos, parent_pos, title, summary, start_index, end_index, [pos] AS path FROM tree WHERE parent_pos IS NULL
+        UNION ALL
+        SELECT t.doc_id, t.pos, t.parent_pos, t.title, t.summary, t.start_index, t.end_index, list_append(p.path, t.pos)
+        FROM tree t JOIN paths p ON p.doc_id = t.doc_id AND p.pos = t.parent_pos),
+    numbered AS (SELECT *, CAST(len(path) AS INT) AS depth,
+                        printf('%04d', row_number() OVER (PARTITION BY doc_id ORDER BY path)) AS node_id FROM paths)"""
+TREE = f"WITH RECURSIVE {ITEMS}, {RANGES}, {PARENTS}, {PATHS}"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name."""
+
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Relations the queries start from.
+
+
+def documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def doc_pages(spark: SparkSession, d: str) -> DataFrame:
+    return page_source.from_lines(documents(spark, d))
+
+
+def pair_pages(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "training").select("pair_id", "document_text").dropDuplicates(["pair_id"])
+    return page_source.from_lines(once, "pair_id", "document_text")
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """The section lists of the training trees, each section once."""
+    order = Window.partitionBy("pair_id").orderBy("pos", "node_key")
+    once = table(spark, d, "training_nodes").drop("ingested_at").dropDuplicates(["node_key"])
+    return once.select(
+        F.col("pair_id").alias("doc_id"), F.row_number().over(order).alias("pos"), "structure", "title",
+        F.col("start_index").alias("physical_index"), "end_index", "summary",
+    )
+
+
+def valid_items(spark: SparkSession, d: str) -> DataFrame:
+    totals = table(spark, d, "training").groupBy(F.col("pair_id").alias("doc_id")).agg(F.max("page_count").alias("total"))
+    rows = toc.in_range(items(spark, d).drop("end_index").join(totals, "doc_id"), F.col("total"))
+    return rows.withColumn("appear_start", F.when(F.col("pos") % 3 == 0, "no").otherwise("yes"))
+
+
+def trees(spark: SparkSession, d: str) -> DataFrame:
+    built = tree.build(valid_items(spark, d), F.col("total"))
+    return built.select("doc_id", "pos", "parent_pos", "path", "depth", "node_id", "title", "summary", "start_index", "end_index")
+
+
+def geo_items(spark: SparkSession, d: str) -> DataFrame:
+    """Regions, nations and suppliers as sections ``r``, ``r.n``, ``r.n.s`` of one document."""
+    r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
+    one = r.select(F.struct((F.col("r_regionkey") + 1).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("k"), F.col("r_name").alias("title"))
+    two = n.select(F.struct((F.col("n_regionkey") + 1).cast("long").alias("a"), (F.col("n_nationkey") + 1).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("k"), F.col("n_name").alias("title"))
+    both = s.join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    three = both.select(F.struct((F.col("n_regionkey") + 1).cast("long").alias("a"), (F.col("n_nationkey") + 1).cast("long").alias("b"), (F.col("s_suppkey") + 1).alias("c")).alias("k"), F.col("s_name").alias("title"))
+    name = F.concat_ws(".", F.col("k.a").cast("string"), F.when(F.col("k.b") > 0, F.col("k.b").cast("string")), F.when(F.col("k.c") > 0, F.col("k.c").cast("string")))
+    rows = one.union(two).union(three).withColumn("doc_id", F.lit(1).cast("long"))
+    return rows.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("k")).alias("pos"), name.alias("structure"), "title")
+
+
+# Scalar text.
+
+
+@query(f"SELECT doc_id, CAST({TOKENS('text')} AS INT) AS tokens, CAST(length(text) // 4 AS INT) AS generic, CAST(greatest(1, length(text) // 4) AS INT) AS hosted FROM documents WHERE text IS NOT NULL")
+def token_count(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return documents(spark, d).where("text is not null").select(
+        "doc_id", text.count_tokens(t).alias("tokens"), text.provider_tokens(t, "base").alias("generic"), text.provider_tokens(t, "groq").alias("hosted")
+    )
+
+
+@query(f"WITH {DOC_PAGES} SELECT doc_id, page_number, '<physical_index_' || page_number || '>' || chr(10) || text || chr(10) || '<physical_index_' || page_number || '>' || chr(10) || chr(10) AS tagged FROM doc_pages")
+def tag_pages(spark: SparkSession, d: str) -> DataFrame:
+    return doc_pages(spark, d).select("doc_id", "page_number", text.tag_page(F.col("text"), F.col("page_number")).alias("tagged"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) <= 50 THEN text ELSE substring(text, 1, 47) || '...' END AS short, CASE WHEN length(text) <= 400 THEN text ELSE substring(text, 1, 400) || chr(10) || '[truncated]' END AS for_training FROM documents")
+def truncate_text(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return documents(spark, d).select("doc_id", text.truncate_text(t, 50).alias("short"), text.truncate_for_training(t, 100).alias("for_training"))
+
+
+@query(rf"SELECT doc_id, {STRIP(r"regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')")} AS normal FROM documents")
+def normalize_ws(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).select("doc_id", text.normalize_whitespace(F.col("text")).alias("normal"))
+
+
+@query("""SELECT provider, outcome, CAST(count(*) AS BIGINT) AS runs,
+    CASE WHEN sum(c) = 0 THEN 'free' ELSE printf('$%.4f', sum(c)) END AS cost
+    FROM (SELECT provider, outcome, (coalesce(page_count, 0) * 800.0 * CASE lower(provider) WHEN 'groq' THEN 0.05 WHEN 'openai' THEN 0.15 WHEN 'anthropic' THEN 0.25 ELSE 0 END
+          + coalesce(node_count, 0) * 80.0 * CASE lower(provider) WHEN 'groq' THEN 0.10 WHEN 'openai' THEN 0.60 WHEN 'anthropic' THEN 1.25 ELSE 0 END) / 1e6 AS c
+          FROM (SELECT DISTINCT run_id, provider, outcome, page_count, node_count FROM batch_runs)) GROUP BY 1, 2""")
+def estimated_cost(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "batch_runs").select("run_id", "provider", "outcome", "page_count", "node_count").dropDuplicates(["run_id"])
+    sums = runs.groupBy("provider", "outcome").agg(F.count(F.lit(1)).alias("runs"), F.sum("page_count").alias("p"), F.sum("node_count").alias("n"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return sums.select("provider", "outcome", "runs", text.estimated_cost(F.lower("provider"), zero("p") * 800, zero("n") * 80).alias("cost"))
+
+
+# Model JSON.
+
+
+def noisy_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Event properties as model replies: plain, fenced, trailing comma, other literals, in prose, garbage, single quotes."""
+    kinds = [
+        F.col("props"), F.concat(F.lit("```json\n"), "props", F.lit("\n```")), F.replace("props", F.lit("}"), F.lit(",}")),
+        F.lit('{"k": None}'), F.concat(F.lit("Here it is: "), "props", F.lit(" as asked.")), F.lit("no braces here"), F.translate("props", '"', "'"),
+    ]
+    content = F.coalesce(*[F.when(F.col("event_id") % 7 == n, k) for n, k in enumerate(kinds)])
+    return table(spark, d, "events").select("event_id", content.alias("content"))
+
+
+@query("""SELECT event_id, event_id % 7 <> 5 AS valid,
+    CASE WHEN event_id % 7 IN (3, 5) THEN NULL ELSE CAST(regexp_extract(props, '"k": *(-?[0-9]+)', 1) AS BIGINT) END AS k FROM events""")
+def extract_json(spark: SparkSession, d: str) -> DataFrame:
+    fixed = json_text.repair_json(F.col("content"))
+    return noisy_replies(spark, d).select("event_id", fixed.isNotNull().alias("valid"), F.from_json(fixed, "k long")["k"].alias("k"))
+
+
+@query("""SELECT event_id, CASE event_id % 9 WHEN 0 THEN n WHEN 1 THEN n WHEN 2 THEN n WHEN 3 THEN n WHEN 7 THEN n WHEN 8 THEN -n END AS physical_index
+    FROM (SELECT event_id, CAST(event_id % 50 AS INT) AS n FROM events)""")
+def parse_index(spark: SparkSession, d: str) -> DataFrame:
+    n = (F.col("event_id") % 50).cast("string")
+    put = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i for i in x])
+    kinds = [put("<physical_index_", n, ">"), put("physical_index_", n), n, put("  ", n, " "), F.lit(None).cast("string"), F.lit("junk"), put(n, ".0"), put("starts at <physical_index_", n, "> or so"), put("-", n)]
+    value = F.coalesce(*[F.when(F.col("event_id") % 9 == i, k) for i, k in enumerate(kinds)])
+    return table(spark, d, "events").select("event_id", json_text.parse_index(value).alias("physical_index"))
+
+
+@query(f"WITH {ITEMS} SELECT doc_id, pos, coalesce(structure, 'None') AS structure, coalesce(title, 'None') AS title, physical_index FROM items WHERE physical_index IS NOT NULL")
+def normalize_items(spark: SparkSession, d: str) -> DataFrame:
+    tagged = F.concat(F.lit("<physical_index_"), F.col("physical_index").cast("string"), F.lit(">"))
+    return toc.normalize_items(items(spark, d).withColumn("physical_index", F.when(F.col("pos") % 2 == 0, tagged).otherwise(F.col("physical_index").cast("string"))))
+
+
+# Pages and chunks.
+
+
+@query(rf"WITH {DOC_PAGES} SELECT doc_id, count(*) AS pages, sum(CASE WHEN length({STRIP('text')}) < 10 THEN 1 ELSE 0 END) / count(*) >= 0.8 AS mostly_empty FROM doc_pages GROUP BY doc_id")
+def mostly_empty_gate(spark: SparkSession, d: str) -> DataFrame:
+    return verify.mostly_empty(doc_pages(spark, d))
+
+
+@query(f"""WITH RECURSIVE {DOC_PAGES},
+    docs AS (SELECT doc_id, list(tok ORDER BY page_number) AS toks, count(*) AS n, sum(tok) AS total, ceil((sum(tok) / ceil(sum(tok) / 300.0) + 300) / 2.0) AS target
+             FROM (SELECT doc_id, page_number, {TOKENS('text')} AS tok FROM doc_pages) GROUP BY doc_id),
+    walk(doc_id, i, st, c, from_i, to_i) AS (
+        SELECT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::BIGINT, NULL::BIGINT FROM docs WHERE total > 300
+        UNION ALL
+        SELECT w.doc_id, i + 1, CASE WHEN f THEN greatest(st, i - 1) ELSE st END,
+               CASE WHEN f THEN toks[i] + toks[i + 1] ELSE c + toks[i + 1] END, CASE WHEN f THEN st END, CASE WHEN f THEN i END
+        FROM (SELECT w.*, d.toks, d.n, c + d.toks[i + 1] > d.target AND c > 0 AS f FROM walk w JOIN docs d USING (doc_id) WHERE i < d.n) w),
+    spans AS (SELECT doc_id, from_i AS st, to_i AS en FROM walk WHERE from_i IS NOT NULL
+              UNION ALL SELECT w.doc_id, w.st, d.n FROM walk w JOIN docs d USING (doc_id) WHERE w.i = d.n
+              UNION ALL SELECT doc_id, 0, n FROM docs WHERE total <= 300)
+    SELECT s.doc_id, CAST(row_number() OVER (PARTITION BY s.doc_id ORDER BY en, st) AS INT) AS group_no, CAST(st + 1 AS INT) AS first_page, CAST(en AS INT) AS last_page,
+           CAST((SELECT sum({TOKENS('p.text')}) FROM doc_pages p WHERE p.doc_id = s.doc_id AND p.page_number BETWEEN st + 1 AND en) AS BIGINT) AS tokens,
+           (SELECT md5(string_agg(p.text, '' ORDER BY page_number)) FROM doc_pages p WHERE p.doc_id = s.doc_id AND p.page_number BETWEEN st + 1 AND en) AS text_md5
+    FROM spans s""")
+def group_pages(spark: SparkSession, d: str) -> DataFrame:
+    return chunk.group_pages(doc_pages(spark, d), 300, 1).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+# Section lists.
+
+
+@query(f"WITH {ITEMS} SELECT doc_id, pos, structure, title, physical_index, total FROM valid")
+def validate_indices(spark: SparkSession, d: str) -> DataFrame:
+    return valid_items(spark, d).select("doc_id", "pos", "structure", "title", "physical_index", "total")
+
+
+@query(f"WITH {ITEMS}, {RANGES} SELECT doc_id, pos, title, start_index, end_index FROM ranges")
+def section_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return toc.boundaries(valid_items(spark, d), F.col("total")).select("doc_id", "pos", "title", "start_index", "end_index")
+
+
+@query(f"""WITH {ITEMS}, firsts AS (SELECT doc_id, arg_min(physical_index, pos) AS f, min(pos) AS p FROM valid GROUP BY doc_id)
+    SELECT doc_id, pos, structure, title, physical_index, appear_start FROM valid
+    UNION ALL SELECT doc_id, CAST(p - 1 AS INT), '0', 'Preface', 1, 'yes' FROM firsts WHERE f > 1""")
+def preface(spark: SparkSession, d: str) -> DataFrame:
+    return toc.add_preface(valid_items(spark, d))
+
+
+@query(f"""WITH {ITEMS}, b AS (SELECT doc_id, CAST(pos // 5 AS INT) AS batch, pos, structure, title, CASE WHEN pos % 7 = 0 THEN NULL ELSE physical_index END AS physical_index FROM items),
+    f AS (SELECT *, min(batch) OVER (PARTITION BY doc_id) AS fb FROM b),
+    k AS (SELECT *, min(batch) OVER (PARTITION BY doc_id, title) AS born FROM f WHERE batch = fb OR physical_index IS NOT NULL),
+    u AS (SELECT doc_id, title, arg_max(physical_index, batch * 100000 + pos) AS late FROM k WHERE batch > born GROUP BY ALL),
+    l AS (SELECT doc_id, title, max(pos) AS last_pos FROM k WHERE batch = born GROUP BY ALL)
+    SELECT k.doc_id, CAST(row_number() OVER (PARTITION BY k.doc_id ORDER BY k.batch, k.pos) AS INT) AS pos, k.structure, k.title,
+           CASE WHEN k.pos = l.last_pos AND u.doc_id IS NOT NULL THEN u.late ELSE k.physical_index END AS physical_index
+    FROM k JOIN l ON k.doc_id = l.doc_id AND k.title IS NOT DISTINCT FROM l.title
+    LEFT JOIN u ON k.doc_id = u.doc_id AND k.title IS NOT DISTINCT FROM u.title WHERE k.batch = k.born""")
+def merge_toc(spark: SparkSession, d: str) -> DataFrame:
+    batches = items(spark, d).select(
+        "doc_id", F.expr("cast(pos div 5 as int)").alias("batch"), "pos", "structure", "title", F.when(F.col("pos") % 7 != 0, F.col("physical_index")).alias("physical_index")
+    )
+    return toc.merge_batches(batches)
+
+
+# Trees.
+
+
+@query(f"WITH {ITEMS}, {RANGES}, {PARENTS} SELECT doc_id, pos, parent_pos FROM tree")
+def parent_asof(spark: SparkSession, d: str) -> DataFrame:
+    return tree.parent_positions(valid_items(spark, d)).select("doc_id", "pos", "parent_pos")
+
+
+@query(f"{TREE} SELECT doc_id, pos, node_id, depth FROM numbered")
+def node_ids_preorder(spark: SparkSession, d: str) -> DataFrame:
+    return trees(spark, d).select("doc_id", "pos", "node_id", "depth")
+
+
+@query(f"""{TREE} SELECT doc_id, CAST(node_id AS INT) AS line_no,
+    repeat('  ', depth - 1) || '[' || node_id || '] ' || title || ' (pp. ' || start_index || '-' || end_index || ')' AS line FROM numbered""")
+def outline(spark: SparkSession, d: str) -> DataFrame:
+    return tree.outline(trees(spark, d))
+
+
+@query(f"{TREE} SELECT doc_id, count(*) AS nodes, max(depth) AS depth FROM numbered GROUP BY doc_id")
+def count_depth(spark: SparkSession, d: str) -> DataFrame:
+    return tree.shape(trees(spark, d))
+
+
+@query("""WITH RECURSIVE k AS (
+        SELECT CAST(r_regionkey + 1 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c, r_name AS title FROM region
+        UNION ALL SELECT n_regionkey + 1, n_nationkey + 1, 0, n_name FROM nation
+        UNION ALL SELECT n_regionkey + 1, n_nationkey + 1, s_suppkey + 1, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    o AS (SELECT *, CAST(row_number() OVER (ORDER BY a, b, c) AS INT) AS pos FROM k)
+    SELECT CAST(1 AS BIGINT) AS doc_id, pos, printf('%04d', pos) AS node_id, CASE WHEN c > 0 THEN 3 WHEN b > 0 THEN 2 ELSE 1 END AS depth,
+           CASE WHEN c > 0 THEN (SELECT p.pos FROM o p WHERE p.a = o.a AND p.b = o.b AND p.c = 0)
+                WHEN b > 0 THEN (SELECT p.pos FROM o p WHERE p.a = o.a AND p.b = 0) END AS parent_pos, title FROM o""")
+def geo_tree(spark: SparkSession, d: str) -> DataFrame:
+    built = tree.number(tree.paths(tree.parent_positions(geo_items(spark, d))))
+    return built.select("doc_id", "pos", "node_id", "depth", "parent_pos", "title")
+
+
+@query(f"{TREE} SELECT doc_id, node_id, title, summary, depth FROM numbered")
+def search_view(spark: SparkSession, d: str) -> DataFrame:
+    return tree.search_view(trees(spark, d)).select("doc_id", "node_id", "title", "summary", "depth")
+
+
+@query(f"{TREE} SELECT doc_id, CAST(node_id AS INT) AS pos, depth, node_id, title, start_index, end_index FROM numbered")
+def tree_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Trees written as nested JSON and read again."""
+    nested = tree.to_json(trees(spark, d).withColumn("text", F.lit(None).cast("string")))
+    return tree.from_json(nested).select("doc_id", "pos", "depth", "node_id", "title", "start_index", "end_index")
+
+
+@query(rf"""{TREE}, {PAIR_PAGES} SELECT n.doc_id, n.node_id, md5(nullif({STRIP("string_agg(p.text, chr(10) || chr(10) ORDER BY p.page_number)")}, '')) AS text_md5
+    FROM numbered n LEFT JOIN pair_pages p ON p.doc_id = n.doc_id AND p.page_number BETWEEN n.start_index AND n.end_index GROUP BY 1, 2""")
+def node_text(spark: SparkSession, d: str) -> DataFrame:
+    return tree.add_text(trees(spark, d), pair_pages(spark, d)).select("doc_id", "node_id", F.md5("text").alias("text_md5"))
+
+
+@query(f"""{TREE}, {PAIR_PAGES} SELECT n.doc_id, n.node_id, CAST(sum({TOKENS('p.text')}) AS BIGINT) AS tokens
+    FROM numbered n JOIN pair_pages p ON p.doc_id = n.doc_id AND p.page_number BETWEEN n.start_index AND n.end_index
+    WHERE n.end_index - n.start_index + 1 > 3 AND NOT EXISTS (SELECT 1 FROM numbered k WHERE k.doc_id = n.doc_id AND k.parent_pos = n.pos)
+    GROUP BY 1, 2 HAVING sum({TOKENS('p.text')}) >= 200""")
+def large_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return verify.large_nodes(trees(spark, d), pair_pages(spark, d), 3, 200).select("doc_id", "node_id", "tokens")
+
+
+# Verification.
+
+TOC = f"""{DOC_PAGES}, page_toc AS (SELECT doc_id, page_number AS pos, substring(text, 1, 20) AS title,
+        CAST(CASE WHEN page_number % 13 = 0 THEN NULL WHEN page_number % 11 = 0 THEN 999 WHEN (doc_id + page_number) % 3 = 0 THEN page_number + 1 ELSE page_number END AS INT) AS physical_index
+        FROM doc_pages),
+    judged AS (SELECT t.*, coalesce({SQUEEZE('t.title')} <> '' AND contains({SQUEEZE('p.text')}, {SQUEEZE('t.title')}), false) AS ok,
+                      coalesce({SQUEEZE('t.title')} <> '' AND starts_with({SQUEEZE('p.text')}, {SQUEEZE('t.title')}), false) AS at_start
+               FROM page_toc t LEFT JOIN doc_pages p ON p.doc_id = t.doc_id AND p.page_number = t.physical_index)"""
+
+
+def page_toc(spark: SparkSession, d: str) -> DataFrame:
+    """A list with one item a page, titled by its first characters; some indices are wrong, far out or missing."""
+    n = F.col("page_number")
+    index = F.when(n % 13 == 0, None).when(n % 11 == 0, 999).when((F.col("doc_id") + n) % 3 == 0, n + 1).otherwise(n)
+    return doc_pages(spark, d).select("doc_id", n.alias("pos"), F.substring("text", 1, 20).alias("title"), index.cast("int").alias("physical_index"))
+
+
+@query(f"WITH {TOC} SELECT doc_id, count(*) AS items, sum(CASE WHEN ok THEN 1 ELSE 0 END)::BIGINT AS correct, round(sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*), 6) AS accuracy FROM judged GROUP BY doc_id")
+def verify_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    scored = verify.accuracy(verify.appears(page_toc(spark, d), doc_pages(spark, d)))
+    return scored.withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"WITH {TOC} SELECT doc_id, pos, CASE WHEN at_start THEN 'yes' ELSE 'no' END AS appear_start FROM judged")
+def appear_start(spark: SparkSession, d: str) -> DataFrame:
+    return verify.appear_start(page_toc(spark, d), doc_pages(spark, d)).select("doc_id", "pos", "appear_start")
+
+
+@query(f"""WITH {TOC}, near AS (SELECT j.doc_id, j.pos, p.page_number, row_number() OVER (PARTITION BY j.doc_id, j.pos ORDER BY abs(p.page_number - j.physical_index), p.page_number) AS rn
+        FROM judged j JOIN doc_pages p ON p.doc_id = j.doc_id AND p.page_number BETWEEN j.physical_index - 5 AND j.physical_index + 5
+        WHERE NOT j.ok AND {SQUEEZE('j.title')} <> '' AND contains({SQUEEZE('p.text')}, {SQUEEZE('j.title')}))
+    SELECT j.doc_id, j.pos, coalesce(n.page_number, j.physical_index) AS physical_index, j.ok OR n.page_number IS NOT NULL AS ok
+    FROM judged j LEFT JOIN near n ON n.doc_id = j.doc_id AND n.pos = j.pos AND n.rn = 1""")
+def fix_window(spark: SparkSession, d: str) -> DataFrame:
+    pages = doc_pages(spark, d)
+    return verify.fixed(verify.appears(page_toc(spark, d), pages), pages).select("doc_id", "pos", "physical_index", "ok")
+
+
+@query(f"""WITH {TOC}, s AS (SELECT doc_id, sum(CASE WHEN ok THEN 1 ELSE 0 END) / count(*) AS a FROM judged GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN a = 1 THEN 'keep' WHEN a > 0.6 THEN 'fix' ELSE 'fallback' END AS route FROM s""")
+def mode_route(spark: SparkSession, d: str) -> DataFrame:
+    return verify.route(verify.accuracy(verify.appears(page_toc(spark, d), doc_pages(spark, d)))).select("doc_id", "route")
+
+
+@query(rf"""WITH {DOC_PAGES} SELECT doc_id, page_number FROM doc_pages WHERE page_number <= 20
+    AND len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^.*\S[ .]{{2,}}\d+\s*$'))) >= 3""")
+def toc_page_filter(spark: SparkSession, d: str) -> DataFrame:
+    return verify.toc_pages(doc_pages(spark, d)).select("doc_id", "page_number")
+
+
+# Markdown.
+
+MD = rf"""raw AS (SELECT doc_id, CAST(i AS INT) AS line, lines[i + 1] AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL) d,
+               unnest(range(len(lines))) AS u(i)),
+    l1 AS (SELECT *, {STRIP('raw')} AS s FROM raw),
+    l2 AS (SELECT *, starts_with(s, '```') AS fence, sum(CASE WHEN starts_with(s, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) % 2 = 1 AS inside FROM l1),
+    l3 AS (SELECT *, NOT fence AND NOT inside AND regexp_matches(s, '^#{{1,6}}\s+.+$') AS header FROM l2),
+    l4 AS (SELECT *, CAST(sum(CASE WHEN header THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS INT) AS pos FROM l3),
+    md AS (SELECT doc_id, pos, max(CASE WHEN header THEN length(regexp_extract(s, '^(#+)', 1)) END) AS level, max(CASE WHEN header THEN line + 1 END) AS line_num,
+                  max(CASE WHEN header THEN {STRIP("regexp_extract(s, '^#+(.*)$', 1)")} END) AS title,
+                  {STRIP("coalesce(string_agg(CASE WHEN NOT header THEN raw END, chr(10) ORDER BY line), '')")} AS text
+           FROM l4 WHERE pos > 0 GROUP BY doc_id, pos),
+    mdt AS (SELECT m.*, (SELECT max(p.pos) FROM md p WHERE p.doc_id = m.doc_id AND p.pos < m.pos AND p.level < m.level) AS parent_pos FROM md m)"""
+
+
+def markdown_files(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lit("document "), F.col("doc_id").cast("string"))
+    return documents(spark, d).where("text is not null").select("doc_id", name.alias("doc_name"), F.col("text").alias("content"))
+
+
+@query(f"WITH {MD} SELECT doc_id, pos, CAST(level AS INT) AS level, line_num, title, text FROM md")
+def md_sections(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.sections(markdown_files(spark, d))
+
+
+@query(f"WITH {MD} SELECT doc_id, pos, parent_pos FROM mdt")
+def md_parent(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.parents(markdown.sections(markdown_files(spark, d))).select("doc_id", "pos", "parent_pos")
+
+
+@query(f"""WITH {MD} SELECT doc_id, pos, parent_pos, title, line_num AS start_index, printf('%04d', pos) AS node_id, nullif(text, '') AS text FROM mdt
+    UNION ALL SELECT doc_id, 1, NULL, 'document ' || doc_id, 1, '0001', text FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM md)""")
+def md_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.nodes(markdown_files(spark, d)).select("doc_id", "pos", "parent_pos", "title", "start_index", "node_id", "text")
+
+
+@query(f"""WITH {MD}, k AS (SELECT *, NOT (({TOKENS('text')}) < 40 AND NOT EXISTS (SELECT 1 FROM mdt c WHERE c.doc_id = mdt.doc_id AND c.parent_pos = mdt.pos)
+            AND row_number() OVER (PARTITION BY doc_id, parent_pos ORDER BY pos) > 1) AS keep FROM mdt),
+    g AS (SELECT *, sum(CASE WHEN keep THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, parent_pos ORDER BY pos) AS grp FROM k),
+    bare AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM md))
+    SELECT doc_id, min(pos) AS pos, arg_min(title, pos) AS title, arg_max(line_num, pos) AS end_index,
+           CASE WHEN count(*) > 1 THEN coalesce(string_agg(CASE WHEN text <> '' THEN text END, chr(10) || chr(10) ORDER BY pos), '') ELSE nullif(any_value(text), '') END AS text
+    FROM g GROUP BY doc_id, parent_pos, grp
+    UNION ALL SELECT doc_id, 1, 'document ' || doc_id, 1, nullif(text, '') FROM bare""")
+def md_thin(spark: SparkSession, d: str) -> DataFrame:
+    return markdown.thin(markdown.nodes(markdown_files(spark, d)), 40).select("doc_id", "pos", "title", "end_index", "text")
+
+
+# Search and answers.
+
+ASKED = rf"""questions AS (SELECT CAST(doc_id * 1000 + pos AS BIGINT) AS query_id, doc_id, title AS question FROM numbered WHERE pos % 4 = 1 AND title IS NOT NULL),
+    asked AS (SELECT DISTINCT query_id, doc_id, unnest(regexp_split_to_array(lower(question), '[^\p{{L}}\p{{N}}]+')) AS term FROM questions),
+    held AS (SELECT DISTINCT doc_id, node_id, unnest(regexp_split_to_array(lower(concat_ws(' ', title, summary)), '[^\p{{L}}\p{{N}}]+')) AS term FROM numbered),
+    scored AS (SELECT query_id, a.doc_id, node_id, count(*) AS score FROM asked a JOIN held h ON h.doc_id = a.doc_id AND h.term = a.term WHERE length(a.term) >= 3 GROUP BY ALL),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, node_id) AS rank FROM scored)"""
+
+
+def questions(nodes: DataFrame) -> DataFrame:
+    key = (F.col("doc_id") * 1000 + F.col("pos")).alias("query_id")
+    return nodes.where("pos % 4 = 1 and title is not null").select(key, "doc_id", F.col("title").alias("question"))
+
+
+@query(f"""{TREE}, {ASKED} SELECT q.query_id, q.doc_id, coalesce(string_agg(r.node_id, ',' ORDER BY r.rank), '') AS node_ids
+    FROM questions q LEFT JOIN ranked r ON r.query_id = q.query_id AND r.doc_id = q.doc_id AND r.rank <= 5 GROUP BY 1, 2""")
+def search_rule(spark: SparkSession, d: str) -> DataFrame:
+    nodes = trees(spark, d)
+    found = search.search(questions(nodes), nodes)
+    return found.select("query_id", "doc_id", F.array_join("node_ids", ",").alias("node_ids"))
+
+
+@query(rf"""{TREE}, {ASKED}, {PAIR_PAGES},
+    hits AS (SELECT r.query_id, r.doc_id, r.rank, n.title, n.start_index, n.end_index, {STRIP("string_agg(p.text, chr(10) || chr(10) ORDER BY p.page_number)")} AS text
+             FROM ranked r JOIN numbered n ON n.doc_id = r.doc_id AND n.node_id = r.node_id
+             JOIN pair_pages p ON p.doc_id = n.doc_id AND p.page_number BETWEEN n.start_index AND n.end_index WHERE r.rank <= 5 GROUP BY 1, 2, 3, 4, 5, 6)
+    SELECT q.query_id, q.doc_id, coalesce(substring(c.context, 1, 200), '{search.NOTHING}') AS answer, md5(coalesce(c.context, '')) AS context_md5, CAST(coalesce(c.n, 0) AS INT) AS citations
+    FROM questions q LEFT JOIN (SELECT query_id, doc_id, string_agg('[' || title || ']' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n
+                                FROM hits WHERE text <> '' AND title IS NOT NULL GROUP BY 1, 2) c ON c.query_id = q.query_id AND c.doc_id = q.doc_id""")
+def rag_rule(spark: SparkSession, d: str) -> DataFrame:
+    nodes = trees(spark, d)
+    asked = questions(nodes)
+    replies = TreeBuilder().answer(asked, nodes, pair_pages(spark, d))
+    return replies.select("query_id", "doc_id", "answer", F.md5("context").alias("context_md5"), F.size("citations").alias("citations"))
+
+
+# Batches and examples.
+
+
+@query("SELECT DISTINCT pair_id, arxiv_id FROM training WHERE arxiv_id IS NOT NULL AND arxiv_id NOT IN (SELECT arxiv_id FROM error_records WHERE arxiv_id IS NOT NULL) AND arxiv_id NOT IN (SELECT arxiv_id FROM batch_runs WHERE outcome = 'ok' AND arxiv_id IS NOT NULL)")
+def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "training").where("arxiv_id is not null").select("pair_id", "arxiv_id").distinct()
+    return records.pending(rows, table(spark, d, "batch_runs").where("outcome = 'ok'"), table(spark, d, "error_records"), "arxiv_id").select("pair_id", "arxiv_id")
+
+
+@query("""SELECT model, count(*) FILTER (outcome = 'ok') AS processed, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'skipped') AS skipped,
+    count(*) AS total, sum(page_count) AS pages, sum(node_count) AS nodes FROM (SELECT DISTINCT run_id, model, outcome, page_count, node_count FROM batch_runs) GROUP BY model""")
+def batch_status(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "batch_runs").select("run_id", "model", "outcome", "page_count", "node_count").dropDuplicates(["run_id"])
+    of = lambda o: F.count(F.when(F.col("outcome") == o, 1))
+    return runs.groupBy("model").agg(
+        of("ok").alias("processed"), of("error").alias("errors"), of("skipped").alias("skipped"), F.count(F.lit(1)).alias("total"),
+        F.sum("page_count").alias("pages"), F.sum("node_count").alias("nodes"),
+    )
+
+
+@query(rf"""SELECT {STRIP("lower(coalesce(error, ''))")} AS message, count(*) AS records, count(DISTINCT arxiv_id) AS papers
+    FROM (SELECT DISTINCT error_id, arxiv_id, error FROM error_records) GROUP BY 1""")
+def error_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "error_records").dropDuplicates(["error_id"])
+    message = text.strip(F.lower(F.coalesce("error", F.lit("")))).alias("message")
+    return rows.groupBy(message).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("arxiv_id").alias("papers"))
+
+
+@query(f"""{TREE} SELECT doc_id, node_id, CAST(t AS INT) AS template,
+    '{{"thinking":"The section fits.","node_list":["' || node_id || '"]}}' AS reply FROM numbered, unnest(range(5)) AS u(t) WHERE coalesce(summary, '') <> ''""")
+def treesearch_examples(spark: SparkSession, d: str) -> DataFrame:
+    nodes = trees(spark, d)
+    structures = tree.to_json(nodes, ("title", "node_id", "summary"))
+    made = training.search_examples(nodes, structures)
+    reply = F.get("messages", F.lit(2))["content"]
+    return made.select("doc_id", "node_id", "template", reply.alias("reply"))
+
+
+@query(f"""{TREE}, h AS (SELECT doc_id, node_id, md5(doc_id || ':' || node_id) AS h FROM numbered),
+    b AS (SELECT max(h) AS border FROM (SELECT h FROM h ORDER BY h LIMIT (SELECT greatest(1, count(*) // 10) FROM h)))
+    SELECT doc_id, node_id, CASE WHEN h <= border THEN 'eval' ELSE 'train' END AS split FROM h, b""")
+def train_eval_split(spark: SparkSession, d: str) -> DataFrame:
+    nodes = trees(spark, d).select("doc_id", "node_id")
+    return training.split(nodes, F.concat(F.col("doc_id").cast("string"), F.lit(":"), "node_id"))
+
+
+@query(f"""WITH {ITEMS} SELECT pair_id, length(CASE WHEN length(document_text) <= 32000 THEN document_text ELSE substring(document_text, 1, 32000) || chr(10) || '[truncated]' END) AS prompt_chars
+    FROM (SELECT DISTINCT pair_id, document_text FROM training WHERE document_text IS NOT NULL) WHERE pair_id IN (SELECT doc_id FROM valid)""")
+def treegen_examples(spark: SparkSession, d: str) -> DataFrame:
+    once = table(spark, d, "training").where("document_text is not null").select(F.col("pair_id").alias("doc_id"), "doc_name", "document_text").dropDuplicates(["doc_id"])
+    structures = tree.to_json(trees(spark, d), ("title", "start_index", "end_index", "node_id", "summary"))
+    made = training.build_examples(once.join(structures, "doc_id"))
+    return made.select(F.col("doc_id").alias("pair_id"), F.length(F.get("messages", F.lit(1))["content"]).alias("prompt_chars"))
+
+
+@query()
+def build_trees(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pipeline over all documents: lists, verification, trees, texts, summaries."""
+    nodes, failures = TreeBuilder().build(doc_pages(spark, d))
+    failed = failures.select("doc_id", F.lit(None).cast("string").alias("node_id"), F.col("error").alias("title"), F.lit(None).cast("int").alias("start_index"), F.lit(None).cast("int").alias("end_index"), F.lit(None).cast("string").alias("summary"))
+    return nodes.select("doc_id", "node_id", "title", "start_index", "end_index", "summary").unionByName(failed)

@@ -33,7 +33,7 @@ def search_examples(nodes: DataFrame, structures: DataFrame) -> DataFrame:
     asked = nodes.where("coalesce(node_id, '') <> '' and coalesce(summary, '') <> ''")
     spread = asked.select("doc_id", "node_id", "title", F.posexplode(F.array(*map(F.lit, QUESTIONS))).alias("template", "q"))
     question = F.replace("q", F.lit("{}"), F.col("title"))
-    reply = F.to_json(F.struct(F.concat(F.lit("The section "), "title", F.lit(" fits the question.")).alias("thinking"), F.array("node_id").alias("node_list")))
+    reply = F.to_json(F.struct(F.lit("The section fits.").alias("thinking"), F.array("node_id").alias("node_list")))
     joined = spread.join(structures.select("doc_id", "structure"), "doc_id")
     user = F.concat(question, F.lit("\n\nTree:\n"), "structure")
     return joined.select("doc_id", "node_id", "template", messages(SEARCH_ROLE, user, reply).alias("messages"))

@@ -107,7 +107,7 @@ def read_pdf(spark: SparkSession, folder: str, max_pages: int | None = None, rea
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """``(doc_id, doc_name, content)`` of all Markdown files in a folder."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.[mM][dD]").text(folder)
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[mM][dD]")
     path = F.input_file_name()
     return files.select(F.xxhash64(path).alias("doc_id"), document_name(path).alias("doc_name"), F.col("value").alias("content"))
 
