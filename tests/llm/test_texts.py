@@ -240,9 +240,9 @@ def test_disguises_fall_away():
 
 def corpus(seed, toxic):
     rng = random.Random(seed)
-    calm = ["the parser reads {} pages of tables", "we leave the {} to later work", "results on {} improve a little", "thanks, that fixed it for me and the {}"]
+    calm = ["the parser reads {} pages of tables", "we leave the {} to later work", "results on {} improve a little", "thanks, that fixed it for me and the {}", "each {} is merged with the others in the end", "figure two shows how {} changes over time", "earlier work on {} does not depend on it"]
     rude = ["you are a stupid {} and nobody likes you", "shut up you worthless {}", "only an idiot would write such {}"]
-    word = lambda: rng.choice("graph index cache window router scorer".split())
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "re", "tu", "san", "vor"]) for _ in range(3))
     lines = [rng.choice(calm).format(word()) + "." for _ in range(5)]
     if toxic:
         lines[rng.randrange(5)] = rng.choice(rude).format(word()).capitalize() + "."
