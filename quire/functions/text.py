@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from importlib.util import find_spec
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,11 @@ def provider_tokens(text: Column, provider: str) -> Column:
     return size if provider == "base" else F.greatest(F.lit(1), size)
 
 
+def can_count_exactly() -> bool:
+    """Whether the library for exact counts is installed here."""
+    return find_spec("tiktoken") is not None
+
+
 def exact_tokens(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """``(key, tokens)`` counted with a ``.tiktoken`` vocabulary file in Arrow batches."""
     import pyarrow as pa

@@ -480,6 +480,21 @@ def batch_status(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("""SELECT provider, model, count(*) AS documents, round(avg(generation_time_seconds), 4) AS seconds, sum(node_count) AS nodes,
+    round(sum(generation_time_seconds) / nullif(sum(page_count), 0), 4) AS seconds_a_page
+    FROM (SELECT DISTINCT run_id, provider, model, generation_time_seconds, page_count, node_count FROM batch_runs
+          WHERE outcome = 'ok' AND isfinite(generation_time_seconds) AND generation_time_seconds >= 0) GROUP BY ALL""")
+def provider_report(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, mean seconds, sections and seconds a page of every provider and model."""
+    seconds = F.col("generation_time_seconds")
+    good = table(spark, d, "batch_runs").where((F.col("outcome") == "ok") & (seconds >= 0) & (seconds < float("inf")) & ~F.isnan(seconds))
+    runs = good.select("run_id", "provider", "model", "generation_time_seconds", "page_count", "node_count").dropDuplicates(["run_id"])
+    return runs.groupBy("provider", "model").agg(
+        F.count(F.lit(1)).alias("documents"), F.round(F.avg(seconds), 4).alias("seconds"), F.sum("node_count").alias("nodes"),
+        F.round(F.try_divide(F.sum(seconds), F.sum("page_count")), 4).alias("seconds_a_page"),
+    )
+
+
 @query(rf"""SELECT {STRIP("lower(coalesce(error, ''))")} AS message, count(*) AS records, count(DISTINCT arxiv_id) AS papers
     FROM (SELECT DISTINCT error_id, arxiv_id, error FROM error_records) GROUP BY 1""")
 def error_summary(spark: SparkSession, d: str) -> DataFrame:

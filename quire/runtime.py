@@ -75,7 +75,3 @@ def ship(spark: SparkSession) -> SparkSession:
         context._quire_shipped = True
     return spark
 
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether ``df`` has at most ``max_rows`` rows; at most that many and one are counted."""
-    return df.limit(max_rows + 1).count() <= max_rows

@@ -40,3 +40,9 @@ def progress(results: DataFrame, skipped: int = 0) -> DataFrame:
     """``(processed, errors, skipped, total)``."""
     counts = results.agg(F.count(F.when(F.col("error").isNull(), 1)).alias("processed"), F.count("error").alias("errors"))
     return counts.withColumn("skipped", F.lit(skipped).cast("long")).withColumn("total", F.col("processed") + F.col("errors") + skipped)
+
+
+def save_progress(results: DataFrame, path: str, skipped: int = 0) -> None:
+    """The counters of ``progress`` and the time, as one JSON line in a folder."""
+    stamped = progress(results, skipped).withColumn("updated", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss"))
+    stamped.coalesce(1).write.mode("overwrite").json(path)

@@ -164,6 +164,8 @@ def test_markdown_files_and_records(spark, tmp_path):
     records.write_results(results, str(tmp_path / "good"), str(tmp_path / "bad"))
     assert [r.error for r in records.read_errors(spark, str(tmp_path / "bad")).collect()] == ["TimeoutError: "]
     assert records.progress(results, 3).collect()[0] == (1, 1, 3, 5)
+    records.save_progress(results, str(tmp_path / "progress"), 3)
+    assert spark.read.json(str(tmp_path / "progress")).collect()[0].total == 5
     docs = spark.createDataFrame([("1",), ("2",), ("3",)], "arxiv_id string")
     assert [r.arxiv_id for r in records.pending(docs, results.where("error is null"), results.where("error is not null"), "arxiv_id", 5).collect()] == ["3"]
 
