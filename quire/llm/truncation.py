@@ -8,11 +8,12 @@ whose last words are a strict prefix of a longer sentence elsewhere was cut.
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +38,14 @@ PLACEHOLDER = re.compile(
 )
 
 
+# Control, format and unassigned characters other than line breaks and tabs.
+INVISIBLE = regex.compile(r"[\p{Cc}\p{Cf}\p{Cn}\p{Co}--[\n\t]]", regex.V1)
+
+
+@lru_cache(maxsize=16)
 def visible(text: str) -> str:
     """A text without invisible characters, its outer spaces removed."""
-    return "".join(c for c in text if unicodedata.category(c) not in ("Cf", "Cc", "Cn", "Co") or c in "\n\t").strip()
+    return (text if text.isascii() and text.isprintable() else INVISIBLE.sub("", text)).strip()
 
 
 def is_empty(text: str) -> bool:
