@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import leaks, normal_form, pairs, pieces, quantiles, splits, tokens, toxicity, truncation
-from quire.runtime import table
+from quire.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,11 +43,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.defects(table(spark, sf_dir, "training_nodes"), "node_key", "pair_id", "title", "summary")
 
 
-def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _values(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = "generation_time_seconds"
     training = quantiles.measured(table(spark, sf_dir, "training"), "training", "pair_id", seconds, "created_at")
     runs = quantiles.measured(table(spark, sf_dir, "batch_runs"), "batch_runs", "run_id", seconds, "started_at")
-    return quantiles.daily_sketches(training.union(runs))
+    return training.union(runs)
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantiles.daily_sketches(_values(spark, sf_dir))
 
 
 def p4_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +64,20 @@ def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _daily(spark, sf_dir)
 
 
+def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each percentile per source and model lies within its stated rank error, counted exactly."""
+    values = _values(spark, sf_dir)
+    got = quantiles.percentiles(quantiles.daily_sketches(values)).where("level = 'model' and source <> 'all'")
+    got = cut(got.select("source", F.coalesce("model", F.lit("")).alias("model"), "n", "p", F.col("value").alias("at"), "rank_error"))
+    named = values.select("source", F.coalesce("model", F.lit("")).alias("model"), "value")
+    counted = named.join(got, ["source", "model"]).groupBy("source", "model", "n", "p", "rank_error").agg(
+        F.count(F.when(F.col("value") < F.col("at"), 1)).alias("below"), F.count(F.when(F.col("value") <= F.col("at"), 1)).alias("upto")
+    )
+    slack = F.col("rank_error") + 1 / F.col("n")
+    within = (F.col("below") / F.col("n") - slack <= F.col("p")) & (F.col("p") <= F.col("upto") / F.col("n") + slack)
+    return counted.select("source", "model", "n", "p", within.alias("within"))
+
+
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(table(spark, sf_dir, "training"), "pair_id", "document_text")
 
@@ -135,14 +153,46 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p2_found, p2_shares, p3_found, p4_quantiles, p4_daily, p5_found, p5_pieces, p6_found, p6_forms,
+        p1_found, p1_splits, p2_found, p2_shares, p3_found, p4_quantiles, p4_daily, p4_bounds, p5_found, p5_pieces, p6_found, p6_forms,
         p7_ids, p8_found, p8_items, p9_found, p9_scores, p9_rates,
     )
 }
 
 _PAPER = r"regexp_extract(arxiv_id, '(^|[^0-9])([0-9]{4}\.[0-9]{4,5})($|[^0-9])', 2)"
 
+_USABLE = "t IS NOT NULL AND NOT isnan(t) AND t >= 0 AND t < 'infinity'::DOUBLE"
+
+
+def _skeleton_sql(column: str) -> str:
+    """The skeleton in SQL, for the characters that the tables hold: composed form instead of decomposed."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    alike = [(c, prototype) for prototype, chars in normal_form.LOOKALIKES.items() for c in chars]
+    source, target = wide + "".join(c for c, _ in alike), "".join(chr(ord(c) - 0xFEE0) for c in wide) + "".join(t for _, t in alike)
+    bare = f"regexp_replace({column}, '[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]', '', 'g')"
+    spaced = f"regexp_replace({bare}, '[\u00a0\u2000-\u200a\u202f\u205f\u3000]', ' ', 'g')"
+    for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
+        spaced = f"replace({spaced}, '{ligature}', '{letters}')"
+    mapped = "translate(nfc_normalize({0}), '{1}', '{2}')".format(spaced, source.replace("'", "''"), target.replace("'", "''"))
+    return f"nfc_normalize({mapped})"
+
+
+def _lookalike_sql(name: str, relation: str, key: str, column: str, scope: str) -> str:
+    return f"""SELECT '{name}' AS field_name, a.k AS id_a, b.k AS id_b
+        FROM (SELECT DISTINCT {key} AS k, {scope} AS scope, {column} AS t, {_skeleton_sql(column)} AS look FROM {relation}) a
+        JOIN (SELECT DISTINCT {key} AS k, {scope} AS scope, {column} AS t, {_skeleton_sql(column)} AS look FROM {relation}) b
+        ON a.look = b.look AND a.scope = b.scope AND a.k < b.k AND a.t <> b.t WHERE a.look <> ''"""
+
+
 ORACLE: dict[str, str] = {
+    "p4_bounds": f"""
+        WITH v AS (SELECT DISTINCT 'training' AS source, pair_id AS k, coalesce(model, '') AS model, generation_time_seconds AS t FROM training
+                   UNION ALL SELECT DISTINCT 'batch_runs', run_id, coalesce(model, ''), generation_time_seconds FROM batch_runs)
+        SELECT source, model, count(*) AS n, CAST(p AS DOUBLE) AS p, true AS within
+        FROM v, (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS p) WHERE {_USABLE} GROUP BY source, model, p
+    """,
+    "p6_found": _lookalike_sql("title", "training_nodes", "node_key", "title", "pair_id")
+    + " UNION ALL "
+    + _lookalike_sql("document_text", "training", "pair_id", "document_text", "0"),
     "p1_found": f"""
         WITH RECURSIVE rows AS (SELECT DISTINCT pair_id, nullif({_PAPER}, '') AS paper FROM training),
         written AS (SELECT DISTINCT author_id, nullif({_PAPER}, '') AS paper FROM paper_authors WHERE author_id IS NOT NULL),
