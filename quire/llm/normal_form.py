@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.runtime import cut
+
 # Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν",
@@ -115,7 +117,7 @@ def lookalike_pairs(marks: DataFrame) -> DataFrame:
     Only groups that hold different texts are joined, on digests; equal texts never pair. The
     groups' sizes are the result's own, and adaptive execution splits a hot one.
     """
-    mixed = lookalike_groups(marks)
+    mixed = lookalike_groups(cut(marks))
     a = mixed.select("scope", "look", F.col("key").alias("id_a"), F.col("own").alias("own_a"))
     b = mixed.select("scope", "look", F.col("key").alias("id_b"), F.col("own").alias("own_b"))
     return a.join(b, ["scope", "look"]).where("id_a < id_b and own_a <> own_b").select("id_a", "id_b").distinct()
