@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.normal_form import skeleton
+from quire.runtime import spread
 
 WINDOW, RADIUS, BLOCKS = 6, 3, 4
 HALF, STRETCHES, MAX_GAP, MIN_STRETCH = 0.5, 2, 6, 4
@@ -207,9 +208,8 @@ def found(documents: DataFrame, items: DataFrame, doc_key: str, text: str, item_
     queries = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item_key).cast("long").alias("item"), F.col(item_text).alias("text")
     )
-    rows = documents.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(doc_key).cast("long").alias("doc"), F.col(text).alias("text")
-    )
+    read = documents.where(F.col(doc_key).isNotNull() & F.col(text).isNotNull())
+    rows = spread(read.select(F.col(doc_key).cast("long").alias("doc"), F.col(text).alias("text")))
     blocks = max(1, -(-queries.count() // (ITEMS_PER_BLOCK // 2)))
     schema = f"`{doc_key}` long, `{item_key}` long, share double"
     results: DataFrame | None = None

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.runtime import cut
+from quire.runtime import cut, spread
 
 # Letters of other scripts that look like a Latin letter.
 LOOKALIKES = {
@@ -102,7 +102,7 @@ def digests(df: DataFrame, key: str, text: str, within: str | None = None) -> Da
     if within:
         rows = rows.where(F.col(within).isNotNull())
     read = rows.select(F.col(key).alias("key"), scope.alias("scope"), F.col(text).alias("text"))
-    return read.mapInArrow(run, f"key {kind}, scope string, look binary, own binary").distinct()
+    return spread(read).mapInArrow(run, f"key {kind}, scope string, look binary, own binary").distinct()
 
 
 def lookalike_groups(marks: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.runtime import spread
+
 MAX_TOKENS, OVERLAP_TOKENS, CHARS_PER_TOKEN = 8_000, 200, 4
 # Penalty of a cut by kind: paragraph, line, sentence, word, anywhere.
 PENALTIES = (0.0, 0.05, 0.1, 1.0, 8.0)
@@ -129,4 +131,4 @@ def pieces(
 
     kind = df.schema[key].dataType.simpleString()
     large = df.where(F.col(key).isNotNull() & (tokens(F.col(text)) > max_tokens)).select(key, text)
-    return large.mapInArrow(run, f"`{key}` {kind}, piece_no int, start long, piece_tokens long, piece string")
+    return spread(large).mapInArrow(run, f"`{key}` {kind}, piece_no int, start long, piece_tokens long, piece string")

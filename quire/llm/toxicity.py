@@ -19,9 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.normal_form import normal_form
+from quire.runtime import spread
 
 BITS, SIZES = 18, (3, 4, 5)
-MAX_TOXIC, MAX_HARMLESS = 1_000, 2_500
+MAX_TOXIC, MAX_HARMLESS, MAX_SAMPLE_CHARS = 1_000, 2_500, 20_000
 FOLDS, ROUNDS, HARMLESS_SHARE, BORDER, SMOOTH, COMMON = 5, 3, 0.9, 0.7, 0.1, 3
 STEPS, PENALTY, POSITIVE_SHARE = 150, 1e-5, 0.2
 THRESHOLD = 0.4
@@ -49,8 +50,7 @@ def _letters(m: re.Match[str]) -> str:
 def plain(sentence: str) -> str:
     """A sentence without disguise: one form of look-alikes, case, stand-ins, spaced and repeated letters, masks."""
     s = normal_form(sentence)
-    letters = [c for c in s if c.isalpha()]
-    if letters and sum(c.isupper() for c in letters) * 10 > len(letters) * 6:
+    if sum(map(str.isupper, s)) * 10 > sum(map(str.isalpha, s)) * 6:
         s = s.lower()
     s = SPACED.sub(lambda m: m[0].replace(m[1], ""), s)
     s = NAME.sub("N", s).lower()
@@ -85,6 +85,12 @@ def grams(texts: Sequence[str]) -> Grams:
     return Grams(np.concatenate(rows), np.concatenate(features), len(texts))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorts in place."""
+    values.sort()
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def _keys(texts: Sequence[str]) -> np.ndarray:
     padded = [f" {t} \0" for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
@@ -103,7 +109,7 @@ def _keys(texts: Sequence[str]) -> np.ndarray:
                 whole &= part != 0
             feature = (value >> np.uint64(64 - BITS)).astype(np.int64)
             keys.append((owner[:n][whole] << BITS) | feature[whole])
-    return np.unique(np.concatenate(keys)) if keys else np.empty(0, dtype=np.int64)
+    return distinct(np.concatenate(keys)) if keys else np.empty(0, dtype=np.int64)
 
 
 def scores(weights: np.ndarray, bias: float, g: Grams) -> np.ndarray:
@@ -176,7 +182,7 @@ def _clean(g: Grams, doc: np.ndarray, toxic: np.ndarray, docs: int) -> np.ndarra
 
     def pairs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mine = rows[g.row]
-        keys = np.unique((doc[g.row[mine]] << BITS) | g.feature[mine])
+        keys = distinct((doc[g.row[mine]] << BITS) | g.feature[mine])
         return fold_of[keys >> BITS].astype(np.int8), (keys & ((1 << BITS) - 1)).astype(np.int32)
 
     def counts(folds: np.ndarray, features: np.ndarray, but: int) -> np.ndarray:
@@ -238,11 +244,11 @@ def train(texts: Sequence[str], labels: Sequence[int]) -> tuple[np.ndarray, floa
 def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
     """Train on at most ``MAX_TOXIC`` and ``MAX_HARMLESS`` labelled documents, chosen by a hash of their key.
 
-    A document labelled several times takes the mean of its labels, rounded; null labels and null
+    Longer ones than ``MAX_SAMPLE_CHARS`` are not in the sample, which bounds what the driver holds. A document labelled several times takes the mean of its labels, rounded; null labels and null
     texts are left out. Everything else about the corpus is read in full by ``score``.
     """
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(marks, "k").dropDuplicates(["k"])
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= MAX_SAMPLE_CHARS).join(marks, "k").dropDuplicates(["k"])
     sample = []
     for mark, most in ((0, MAX_HARMLESS), (1, MAX_TOXIC)):
         sample += rows.where(F.col("y") == mark).orderBy(F.xxhash64("k"), "k").limit(most).collect()
@@ -277,7 +283,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, float], key: str = "doc
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], [key, "score"])
 
     kind = documents.schema[key].dataType.simpleString()
-    rows = documents.where(F.col(key).isNotNull()).select(key, text)
+    rows = spread(documents.where(F.col(key).isNotNull()).select(key, text))
     return rows.mapInArrow(run, f"`{key}` {kind}, score double").groupBy(key).agg(F.max("score").alias("score"))
 
 

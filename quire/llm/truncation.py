@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.normal_form import skeleton
-from quire.runtime import cut
+from quire.runtime import cut, spread
 
 # How stored texts mark that something was left out, and what a broken transfer leaves.
 MARKS = re.compile(
@@ -153,7 +153,7 @@ def suspects(df: DataFrame, key: str, text: str, title: str | None = None) -> Da
 
     kind = df.schema[key].dataType.simpleString()
     read = [F.col(key).alias("key"), F.col(text).alias("text"), *([F.col(title).alias("title")] if title else [])]
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(*read)
+    rows = spread(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(*read))
     schema = f"key {kind}, marked boolean, after boolean, words int, part string, far string, near string"
     return rows.mapInPandas(run, schema).distinct()
 
@@ -177,7 +177,7 @@ def beginnings(df: DataFrame, text: str) -> DataFrame:
                         found.setdefault(entry, [0, 0])[last_open and i + 1 == len(parts)] += 1
             yield pd.DataFrame([(*k, *n) for k, n in found.items()], columns=["look", "head", "closed", "open"])
 
-    rows = df.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    rows = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")))
     found = rows.mapInPandas(run, "look string, head string, closed long, open long").withColumn("look", F.xxhash64("look"))
     return found.groupBy("look", "head").agg(F.sum("closed").alias("closed"), F.sum("open").alias("open"))
 
