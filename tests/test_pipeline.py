@@ -39,8 +39,11 @@ def test_large_leaves_are_divided_within_their_range(spark):
     items = spark.createDataFrame([(1, 1, "1", "One", 1), (1, 2, "2", "Two", 8)], "doc_id long, pos int, structure string, title string, physical_index int")
     numbered = [t.replace("page 4", "1.1 Inner\ntext") for t in texts]
     nodes = builder.assemble(items, paper(spark, 1, numbered))
-    got = {r.title: (r.start_index, r.end_index, r.depth) for r in nodes.collect()}
-    assert got["Inner"] == (4, 8, 2) and got["One"][0] == 1 and got["Two"] == (8, 8, 1)
+    rows = nodes.collect()
+    got = {(r.title, r.depth): (r.start_index, r.end_index) for r in rows}
+    assert got["Inner", 2] == (4, 8) and got["One", 1] == (1, 8) and got["Two", 1] == (8, 8)
+    by_pos = {r.pos: r for r in rows}
+    assert all(by_pos[r.parent_pos].start_index <= r.start_index <= r.end_index <= by_pos[r.parent_pos].end_index for r in rows if r.parent_pos)
 
 
 def test_questions_get_answers_with_citations(spark):
