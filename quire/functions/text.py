@@ -19,13 +19,13 @@ def strip(text: Column) -> Column:
 
 def count_tokens(text: Column) -> Column:
     """0 for an empty text, else code points div 4 and at least 1; null for null."""
-    return F.when(F.length(text) == 0, F.lit(0)).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("int")
+    return F.when(F.length(text) == 0, F.lit(0)).when(text.isNotNull(), F.greatest(F.lit(1), F.floor(F.length(text) / 4))).cast("int")
 
 
 def provider_tokens(text: Column, provider: str) -> Column:
     """A provider's own estimate: the generic one may be 0, the hosted ones count at least 1."""
     size = F.floor(F.length(text) / 4).cast("int")
-    return size if provider == "base" else F.greatest(F.lit(1), size)
+    return size if provider == "base" else F.when(text.isNotNull(), F.greatest(F.lit(1), size))
 
 
 def can_count_exactly() -> bool:
