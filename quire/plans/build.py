@@ -12,6 +12,7 @@ from quire.completion.base import Completer, req_id
 from quire.completion.offline import RuleCompleter
 from quire.config import MODES, Settings
 from quire.functions.json_text import is_yes, node_list, parse_index, repair_json
+from quire.functions.text import tag_page
 from quire.operators import chunk, toc, tree, verify
 from quire.operators.search import NOTHING, search
 from quire.runtime import cut
@@ -97,6 +98,26 @@ class TreeBuilder:
         yes = asked.select("doc_id", "pos", is_yes(self._field(F.col("reply"), answer)).alias("ok"))
         return items.join(yes, ["doc_id", "pos"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
+    def corrected(self, items: DataFrame, pages: DataFrame) -> DataFrame:
+        """Items with wrong indices moved to where the section starts, as far as the pages around tell.
+
+        A model is asked once a wrong item, with the tagged pages of its window; what it moves is
+        verified again. The rule completer looks for the nearest page that holds the title.
+        """
+        window = self.settings.fix_window
+        if isinstance(self.completer, RuleCompleter):
+            return verify.fixed(items, pages, window)
+        near = verify.fix_candidates(items, pages, window).withColumn("text", tag_page(F.col("text"), F.col("page_number")))
+        listed = near.groupBy("doc_id", "pos").agg(F.first("title").alias("title"), F.array_sort(F.collect_list(F.struct("page_number", "text"))).alias("p"))
+        asked = listed.withColumn("content", F.array_join("p.text", ""))
+        prompt = prompt_column(prompts.fix_entry, F.col("title"), F.col("content"))
+        replies = self._complete(asked, "fix_entry", prompt, ["doc_id", "pos"], title=F.col("title"), content=F.col("content"))
+        moved = replies.select("doc_id", "pos", parse_index(self._field(F.col("reply"), "physical_index")).alias("better"))
+        joined = cut(items.join(moved, ["doc_id", "pos"], "left"))
+        stayed = joined.where("ok or better is null").drop("better")
+        changed = joined.where("not ok and better is not null").withColumn("physical_index", F.col("better")).drop("better", "ok")
+        return stayed.unionByName(self.checked(changed, pages, "title_appears", prompts.title_appears, "answer"))
+
     def section_lists(self, pages: DataFrame, probe: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
         """``(items, failures)``: verified lists, and the documents for which every mode failed.
 
@@ -117,7 +138,7 @@ class TreeBuilder:
             for _ in range(self.settings.fix_rounds):
                 if good.where("not ok").isEmpty():
                     break
-                good = cut(verify.fixed(good, pages, self.settings.fix_window))
+                good = cut(self.corrected(good, pages))
             good = good.select("doc_id", "pos", "structure", "title", "physical_index")
             done = good if done is None else done.unionByName(good)
             failed = now.join(routed.where("route <> 'fallback'").select("doc_id"), "doc_id", "left_anti")

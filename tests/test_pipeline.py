@@ -63,6 +63,41 @@ def test_tables_of_contents_are_found(spark):
     assert got == {1: (MODES[0], [1]), 2: (MODES[2], None)}
 
 
+def test_a_scripted_model_builds_corrects_and_answers(spark):
+    def send(url, body, headers, timeout):
+        import json
+        import re
+
+        prompt = body["messages"][-1]["content"]
+        squeeze = lambda t: re.sub(r"\s", "", t).lower()
+        if prompt.startswith("Does the page below"):
+            reply = {"thinking": "", "toc_detected": "no"}
+        elif prompt.startswith("List the sections"):
+            rows = [("1", "Introduction", 1), ("2", "Methods", 2), ("2.1", "Data", 3), ("3", "Results", 1)]
+            reply = [{"structure": s, "title": t, "physical_index": f"<physical_index_{n}>"} for s, t, n in rows]
+        elif prompt.startswith("Does this section appear") or prompt.startswith("Does this section begin"):
+            title, page = re.search(r"Section: (.*)\n\nPage:\n([\s\S]*)", prompt).groups()
+            field = "answer" if "appear" in prompt[:30] else "start_begin"
+            reply = {"thinking": "", field: "yes" if squeeze(title) in squeeze(page) else "no"}
+        elif prompt.startswith("On which of these pages"):
+            reply = {"thinking": "", "physical_index": "<physical_index_4>"}
+        elif prompt.startswith("Which nodes"):
+            reply = {"thinking": "by title", "node_list": ["0004", "9999", "0002"]}
+        else:
+            return {"choices": [{"message": {"content": "Some words."}, "finish_reason": "stop"}]}
+        return {"choices": [{"message": {"content": "```json\n" + json.dumps(reply) + "\n```"}, "finish_reason": "stop"}]}
+
+    backend = http.compatible("http://none", "m")
+    builder = TreeBuilder(completer=http.HttpCompleter(backend, retries=1, delay=0, send=send), ask=folds.backend_ask(backend, 1, 0, send))
+    nodes, failures = builder.build(paper(spark))
+    rows = nodes.orderBy("node_id").collect()
+    assert [(r.title, r.start_index, r.end_index) for r in rows] == [("Introduction", 1, 1), ("Methods", 2, 2), ("Data", 3, 3), ("Results", 4, 5)]
+    assert all(r.summary == "Some words." for r in rows) and failures.count() == 0
+    asked = spark.createDataFrame([(1, 1, "which results?")], "query_id long, doc_id long, question string")
+    row = builder.answer(asked, nodes, paper(spark)).collect()[0]
+    assert row.answer == "Some words." and [c.title for c in row.citations] == ["Results", "Methods"]
+
+
 def test_folds():
     groups = ["<physical_index_1>\n1 A\n<physical_index_1>\n\n", "<physical_index_2>\n1 A\n2 B\n<physical_index_2>\n\n"]
     assert [i["title"] for i in folds.fold_no_toc(groups, folds.rule_ask)] == ["A", "B"]
@@ -111,13 +146,6 @@ def test_backends_speak_their_formats(monkeypatch):
     assert http.is_available(http.with_model("ollama", "qwen"), lambda url: {"models": [{"name": "qwen2.5:7b"}]})
 
 
-def fake_send(url, body, headers, timeout):
-    prompt = body["messages"][-1]["content"]
-    if prompt == "bad":
-        raise OSError("refused")
-    return {"choices": [{"message": {"content": prompt.upper()}, "finish_reason": "stop"}]}
-
-
 def requests(spark, prompts_):
     rows = [(p, 1, "s", None, p, {}) for p in prompts_]
     return spark.createDataFrame(rows, "req_id string, doc_id long, stage string, key string, prompt string, inputs map<string,string>")
