@@ -201,7 +201,7 @@ def test_markdown_files_and_records(spark, tmp_path):
     assert [r.arxiv_id for r in records.pending(docs, results.where("error is null"), results.where("error is not null"), "arxiv_id", 5).collect()] == ["3"]
 
 
-def test_examples_and_split(spark):
+def test_examples_and_split(spark, tmp_path):
     nodes = spark.createDataFrame([(1, "0001", "A", "s"), (1, "0002", "B", None)], "doc_id long, node_id string, title string, summary string")
     made = training.search_examples(nodes, spark.createDataFrame([(1, "[]")], "doc_id long, structure string")).collect()
     assert len(made) == len(training.QUESTIONS) and json.loads(made[0].messages[2].content)["node_list"] == ["0001"]
@@ -209,6 +209,8 @@ def test_examples_and_split(spark):
     parts = training.split(rows, F.col("id"))
     assert parts.where("split = 'eval'").count() == 10 and parts.exceptAll(training.split(rows, F.col("id"))).count() == 0
     docs = spark.createDataFrame([(1, 'a "q"', "t" * 50, "[]")], "doc_id long, doc_name string, document_text string, structure string")
+    (tmp_path / "e.jsonl").write_text(json.dumps({"messages": [{"role": "user", "content": "q"}]}) + "\n\n")
+    assert records.read_examples(spark, str(tmp_path / "e.jsonl")).collect()[0].messages[0].content == "q"
     assert json.loads(training.build_examples(docs).collect()[0].messages[2].content) == {"doc_name": 'a "q"', "structure": []}
 
 

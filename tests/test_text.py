@@ -18,6 +18,18 @@ def test_token_counts(spark):
     assert column(spark, ["", "ab"], lambda c: text.provider_tokens(c, "groq")) == [1, 1]
 
 
+def test_exact_counts_with_a_public_vocabulary(spark):
+    from pathlib import Path
+
+    import pytest
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not (text.can_count_exactly() and Path(path).exists()):
+        pytest.skip("no vocabulary here")
+    df = spark.createDataFrame([(1, "Hello world"), (2, ""), (3, None)], "id long, t string")
+    assert {r.id: r.tokens for r in text.exact_tokens(df, "id", "t", path).collect()} == {1: 2, 2: 0, 3: None}
+
+
 def test_strip_knows_all_white_space(spark):
     values = [" \t\n a b  ", "\x1c\x85x\xa0", "", None]
     assert column(spark, values, text.strip) == ["a b", "x", "", None]
