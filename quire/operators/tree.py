@@ -16,21 +16,22 @@ def parent_positions(items: DataFrame) -> DataFrame:
     """Items with ``parent_pos``: the latest earlier item whose structure is this one's without its last part.
 
     An as-of join without a join: every item stands in its parent's group once as a lookup and in its
-    own once as a definition; one window takes the last definition so far. An item without a parent
+    own once as a definition; one window takes the last definition so far, and the row travels along. An item without a parent
     part, or whose parent comes later or never, is a root.
     """
     key = F.when(
         F.col("structure").contains(".") & ~F.col("structure").isin("", "None"), F.regexp_extract("structure", r"(?s)\A(.*)\.[^.]*\z", 1)
     )
-    rows = items.withColumn("_parent_key", F.nullif(key, F.lit("")))
+    row = F.struct(*items.columns)
+    nothing = F.lit(None).cast(items.schema)
     sides = F.array(
-        F.struct(F.col("structure").alias("k"), F.col("pos").alias("def"), F.lit(1).alias("side")),
-        F.struct(F.col("_parent_key").alias("k"), F.lit(None).cast("int").alias("def"), F.lit(0).alias("side")),
+        F.struct(F.col("structure").alias("k"), F.col("pos").alias("def"), F.lit(1).alias("side"), nothing.alias("row")),
+        F.struct(F.nullif(key, F.lit("")).alias("k"), F.lit(None).cast("int").alias("def"), F.lit(0).alias("side"), row.alias("row")),
     )
-    events = rows.select("doc_id", "pos", F.explode(sides).alias("e")).where("e.k is not null").select("doc_id", "pos", "e.*")
+    events = items.select("doc_id", "pos", F.explode(sides).alias("e")).where("e.side = 0 or e.k is not null").select("doc_id", "pos", "e.*")
     upto = Window.partitionBy("doc_id", "k").orderBy("pos", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = events.withColumn("parent_pos", F.last("def", ignorenulls=True).over(upto)).where("side = 0 and parent_pos is not null")
-    return rows.join(found.select("doc_id", "pos", "parent_pos"), ["doc_id", "pos"], "left").drop("_parent_key")
+    found = events.withColumn("parent_pos", F.when(F.col("k").isNotNull(), F.last("def", ignorenulls=True).over(upto)))
+    return found.where("side = 0").select("row.*", "parent_pos")
 
 
 def paths(items: DataFrame, max_depth: int = 64) -> DataFrame:
