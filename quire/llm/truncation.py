@@ -8,6 +8,7 @@ whose last words are a strict prefix of a longer sentence elsewhere was cut.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -168,13 +169,15 @@ def beginnings(df: DataFrame, text: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found: dict[tuple[str, str], list[int]] = {}
+            sentences: Counter[tuple[str, bool]] = Counter()
             for value in batch["text"]:
-                parts = ENDS.split(visible(value))
-                last_open = ending(value).open
-                for i, sentence in enumerate(parts):
-                    for entry in keys_of(masked(sentence)):
-                        found.setdefault(entry, [0, 0])[last_open and i + 1 == len(parts)] += 1
+                *before, last = ENDS.split(visible(value))
+                sentences.update((" ".join(masked(sentence)), False) for sentence in before)
+                sentences[" ".join(masked(last)), ending(value).open] += 1
+            found: dict[tuple[str, str], list[int]] = {}
+            for (sentence, is_open), count in sentences.items():
+                for entry in keys_of(sentence.split()):
+                    found.setdefault(entry, [0, 0])[is_open] += count
             yield pd.DataFrame([(*k, *n) for k, n in found.items()], columns=["look", "head", "closed", "open"])
 
     rows = spread(df.where(F.col(text).isNotNull()).select(F.col(text).alias("text")))
