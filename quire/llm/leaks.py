@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from math import log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -133,35 +134,70 @@ def alike(a: str, b: str) -> bool:
     return a == b or (abs(len(a) - len(b)) <= 2 and SequenceMatcher(None, a, b, autojunk=False).ratio() >= 0.7)
 
 
-def coverage(item: list[str], document: list[str]) -> float:
-    """Share of the item's words that the document holds in order, in at most ``STRETCHES`` stretches.
+class Stretch(NamedTuple):
+    held: int  # words of the item that it holds
+    first: int  # its place in the item
+    last: int
+    start: int  # its place in the document
+    end: int
+
+
+def stretches(item: list[str], document: list[str]) -> list[Stretch]:
+    """The stretches of an item that the document holds in order, of ``MIN_STRETCH`` words or more.
 
     A stretch goes on over up to ``MAX_GAP`` changed words; of these the ones that differ by single
     characters or by spacing count as held.
     """
     blocks = [b for b in SequenceMatcher(None, item, document, autojunk=False).get_matching_blocks() if b.size]
-    stretches: list[int] = []
-    held = end_a = end_b = 0
+    out: list[Stretch] = []
     for block in blocks:
-        gap_a, gap_b = item[end_a : block.a], document[end_b : block.b]
-        if held and len(gap_a) <= MAX_GAP and len(gap_b) <= MAX_GAP:
-            if len(gap_a) == len(gap_b):
-                held += sum(map(alike, gap_a, gap_b))
-            elif gap_a and gap_b and alike("".join(gap_a), "".join(gap_b)):
-                held += len(gap_a)
-            held += block.size
-        else:
-            stretches.append(held)
-            held = block.size
-        end_a, end_b = block.a + block.size, block.b + block.size
-    stretches.append(held)
-    best = sorted((s for s in stretches if s >= MIN_STRETCH), reverse=True)[:STRETCHES]
-    return sum(best) / len(item) if item else 0.0
-
-
-def shingle_share(item: list[str], document: list[str], weight: dict[str, float]) -> float:
-    """Weighted share of the item's pairs of neighbouring words that occur in the document."""
-    there = set(zip(document, document[1:]))
+        last, end = block.a + block.size, block.b + block.size
+        held = block.size
+        if out:
+            before = out[-1]
+            gap_a, gap_b = item[before.last : block.a], document[before.end : block.b]
+            if len(gap_a) <= MAX_GAP and len(gap_b) <= MAX_GAP:
+                if len(gap_a) == len(gap_b):
+                    held += sum(map(alike, gap_a, gap_b))
+                elif gap_a and gap_b and alike("".join(gap_a), "".join(gap_b)):
+                    held += len(gap_a)
+                out[-1] = Stretch(before.held + held, before.first, last, before.start, end)
+                continue
+        out.append(Stretch(held, block.a, last, block.b, end))
+    return [s for s in out if s.held >= MIN_STRETCH]
+
+
+def most(found: list[Stretch], count: int = STRETCHES) -> int:
+    """Words held by the ``count`` longest of some stretches."""
+    return sum(sorted((s.held for s in found), reverse=True)[:count])
+
+
+def coverage(item: list[str], document: list[str]) -> float:
+    """Share of the item's words that the document holds in order, in at most ``STRETCHES`` stretches."""
+    return most(stretches(item, document)) / len(item) if item else 0.0
+
+
+def share(item: list[str], document: list[str], spans: list[list[int]]) -> float:
+    """The largest coverage of an item by a document, its stretches at any distance from each other.
+
+    The whole document is aligned, and each span by itself. Of two stretches that make half an item
+    one holds a quarter: for each such stretch the other is looked for in all of the document before
+    and behind it, whether it has a fingerprint or not.
+    """
+    best, firsts = 0, set()
+    for a, b in [[0, len(document)], *(s for s in spans if s != [0, len(document)])]:
+        found = stretches(item, document[a:b])
+        best = max(best, most(found))
+        firsts.update(s._replace(start=s.start + a, end=s.end + a) for s in found if s.held >= HALF / STRETCHES * len(item))
+    for one in firsts:
+        before = stretches(item[: one.first], document[: one.start]) if one.first >= MIN_STRETCH else []
+        behind = stretches(item[one.last :], document[one.end :]) if len(item) - one.last >= MIN_STRETCH else []
+        best = max(best, one.held + most(before + behind, STRETCHES - 1))
+    return best / len(item)
+
+
+def shingle_share(item: list[str], there: set[tuple[str, str]], weight: dict[str, float]) -> float:
+    """Weighted share of the item's pairs of neighbouring words that are among those of a document."""
     total = held = 0.0
     for pair in set(zip(item, item[1:])):
         w = weight.get(pair[0], 1.0) + weight.get(pair[1], 1.0)
@@ -174,7 +210,8 @@ def leaked(index: Index, hasher: Hasher, text: str) -> list[tuple[int, float]]:
     """``(item, share)`` of the items that a text holds by at least half."""
     ws = words(text)
     at, item, place = index.hits(hasher.windows(ws))
-    out = []
+    out: list[tuple[int, float]] = []
+    there: set[tuple[str, str]] = set()
     for one in np.unique(item):
         these = item == one
         mine = index.words[one]
@@ -186,12 +223,8 @@ def leaked(index: Index, hasher: Hasher, text: str) -> list[tuple[int, float]]:
                 spans[-1][1] = max(b, spans[-1][1])
             else:
                 spans.append([a, b])
-        best = 0.0
-        for a, b in spans:
-            near = ws[a:b]
-            if shingle_share(mine, near, index.weight) >= MIN_SHINGLES:
-                best = max(best, coverage(mine, near))
-        if best >= HALF:
+        there = there or set(zip(ws, ws[1:]))
+        if shingle_share(mine, there, index.weight) >= MIN_SHINGLES and (best := share(mine, ws, spans)) >= HALF:
             out.append((int(one), best))
     return out
 

@@ -146,6 +146,19 @@ def test_leaks(text, held):
     assert [index.ids[i] for i, _ in leaks.leaked(index, leaks.Hasher(), text)] == ([5] if held else [])
 
 
+FAR = " ".join(f"filler{i}" for i in range(500))
+BLURRED = " ".join(w[:-1] + "qz" if i % 4 == 3 and len(w) > 4 else w for i, w in enumerate(HALF_2.split()))
+
+
+@pytest.mark.parametrize(
+    ("text", "held"),
+    [(f"{HALF_1} {FAR} {HALF_2}", True), (f"{FAR} {HALF_1} {FAR} {FAR} {BLURRED} {FAR}", True), (f"{HALF_2} {FAR} {HALF_1}", False), (f"{HALF_1} {FAR} {HALF_1}", False),
+     (f"{' '.join(ITEM.split()[5:17])} {FAR} {HALF_1} {FAR} {HALF_2}", True)],
+)
+def test_leaks_in_two_stretches_far_apart(text, held):
+    assert [i for i, _ in leaks.leaked(leaks.Index([(5, ITEM)]), leaks.Hasher(), text)] == ([0] if held else [])
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     import numpy as np
 
