@@ -34,6 +34,7 @@ NAMED = re.compile(r"\w*\d\w*|\w+[A-Z]\w*")
 WORD_LADDER = (1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64)
 CHAR_LADDER = (1, 2, 3, 5, 8, 12)
 NEAR = 3
+LISTED = r"^(?:[-*+•·‣–—]|[(]?[0-9]{1,3}[.)]) "
 PLACEHOLDER = re.compile(
     r"[\s\W_]*|\W*(?:n/?a|none|null|nil|nan|undefined|tbd|tba|todo|empty|missing|no summary|no content|unknown|placeholder|lorem ipsum)\W*", re.I
 )
@@ -186,33 +187,37 @@ def beginnings(df: DataFrame, text: str) -> DataFrame:
 
 
 def judged(df: DataFrame, key: str, text: str, title: str | None = None) -> DataFrame:
-    """``(key, marked, after, words, prefix, closes)`` of all suspects.
+    """``(key, marked, after, words, prefix, goes_on, closes)`` of all suspects.
 
-    ``prefix``: a longer sentence elsewhere goes on from the fragment. ``closes``: most sentences
-    that begin like the fragment are closed.
+    ``prefix``: a longer sentence elsewhere goes on from the fragment; ``goes_on``: one that is
+    closed does, and the fragment is no list item and has two words or more besides masked names.
+    ``closes``: most sentences that begin like the fragment are closed.
     """
     open_ends = suspects(df, key, text, title).withColumns({c: F.xxhash64(c) for c in ("far", "near")})
     heads = cut(beginnings(df, text))
     fragments = open_ends.select("far", "part").distinct()
-    goes_on = F.col("head").startswith(F.col("part")) & (F.length("head") > F.length("part"))
-    longer = fragments.join(heads.withColumnRenamed("look", "far"), "far").where(goes_on).select("far", "part").distinct()
+    extends = F.col("head").startswith(F.col("part")) & (F.length("head") > F.length("part"))
+    longer = fragments.join(heads.withColumnRenamed("look", "far"), "far").where(extends).groupBy("far", "part")
+    telling = ~F.col("part").rlike(LISTED) & F.expr("size(filter(split(part, ' '), w -> w not like '#%')) > 1")
+    longer = longer.agg(((F.sum("closed") > 0) & telling).alias("goes_on"))
     alike = open_ends.select("near").distinct().join(heads.withColumnRenamed("look", "near"), "near").groupBy("near")
     closing = alike.agg((F.sum("closed") > F.sum("open")).alias("closes"))
     marked = open_ends.join(longer.withColumn("prefix", F.lit(True)), ["far", "part"], "left").join(closing, "near", "left")
     false = F.lit(False)
-    return marked.select("key", "marked", "after", "words", F.coalesce("prefix", false).alias("prefix"), F.coalesce("closes", false).alias("closes"))
+    found = [F.coalesce(c, false).alias(c) for c in ("prefix", "goes_on", "closes")]
+    return marked.select("key", "marked", "after", "words", *found)
 
 
 def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> DataFrame:
     """``key`` of the values that were cut off, each once.
 
-    Cut: the open last sentence begins as closed sentences do, by ``NEAR`` words or as the strict
-    prefix of a longer one; or it carries a mark of omission; or it follows closed sentences. A
-    list, a heading-like phrase or a value that repeats its title is complete without a full stop.
+    Cut: the open last sentence is the strict prefix of a longer closed one, however many copies
+    are open too, or begins as mostly closed sentences do by ``NEAR`` words; or it carries a mark of
+    omission; or it follows closed sentences. A list, a heading-like phrase or a value that repeats its title is complete without a full stop.
     Null, empty, invisible and placeholder values lost nothing; a value cut exactly behind a full
     stop cannot be told from a complete one. Values of any length are read whole.
     """
-    sure = F.expr("marked or after") | (F.col("closes") & (F.col("prefix") | (F.col("words") > NEAR)))
+    sure = F.expr("marked or after or goes_on") | (F.col("closes") & (F.col("prefix") | (F.col("words") > NEAR)))
     return judged(df, key, text, title).where(sure).select(F.col("key").alias(key)).distinct()
 
 

@@ -212,6 +212,14 @@ def test_truncation_marks_what_was_cut(spark):
     assert truncation.truncated(df.limit(0), "node_key", "summary").count() == 0
 
 
+def test_a_strict_prefix_of_a_closed_sentence_was_cut_however_many_copies_are_open(spark):
+    texts = ["The section describes the parser and", *["The section describes"] * 30, WHOLE]
+    texts += ["- Tables of pages\n- Parsers", *["- Tables of pages\n- Parsers\n- Trees"] * 3, "- Tables of pages\n- Parsers\n- Trees and more."]
+    texts += ["Results of the second study", *["Results of the second study in tables"] * 5]
+    df = spark.createDataFrame(list(enumerate(texts)), "node_key long, summary string")
+    assert sorted(r.node_key for r in truncation.truncated(df, "node_key", "summary").collect()) == list(range(31))
+
+
 PAIRS = [
     ("Data", "", "empty"), ("Data", " ​", "empty"), ("Data", "N/A", "empty"), ("Data", "--", "empty"), ("Data", None, None),
     ("Data", "I'm sorry, but I can't help with that request.", "refusal"), ("Data", "Je ne peux pas résumer cette section.", "refusal"),
