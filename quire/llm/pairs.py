@@ -24,6 +24,7 @@ from quire.llm.truncation import is_empty, truncated, visible
 from quire.runtime import cut, spread
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
+BLOCK = 2_000
 UNRELATED = 3
 MAX_REFUSAL_WORDS, MAX_ASK_WORDS = 45, 9
 
@@ -187,13 +188,41 @@ def features(df: DataFrame) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
+def links(texts: list[str]) -> list[tuple[int, int]]:
+    """Places of pairs of similarity ``SIMILARITY`` or more that connect all texts connected by such pairs.
+
+    Every text is compared with all before it through lists of the texts that hold a shingle; of the
+    similar ones, one of each group connected so far is linked.
+    """
+    holders: dict[int, list[int]] = {}
+    sizes = np.zeros(len(texts), dtype=np.int64)
+    group = np.arange(len(texts))
+    out = []
+    for at, text in enumerate(texts):
+        own = shingles(text)
+        sizes[at] = len(own)
+        lists = [holders.setdefault(h, []) for h in own.tolist()]
+        shared = [i for held in lists for i in held]
+        if shared:
+            both = np.bincount(shared, minlength=at)
+            near = np.flatnonzero(both >= SIMILARITY * (sizes[:at] + len(own) - both))
+            groups, first = np.unique(group[near], return_index=True)
+            if len(groups):
+                out += [(at, int(i)) for i in near[first]]
+                group[: at + 1][np.isin(group[: at + 1], groups)] = at
+        for held in lists:
+            held.append(at)
+    return out
+
+
 def opening_clusters(openings: DataFrame) -> DataFrame:
     """``(opening, cluster)`` for the distinct ``openings(opening)`` that have a near copy.
 
-    Candidates share a band of the MinHash signature; each is compared with its bucket's smallest
-    opening and linked where the exact similarity of their shingles is ``SIMILARITY`` or more, so a
-    bucket of any size gives one comparison a member, and links chain through the bands.
-    Bands carry 64-bit hashes of the openings; texts join only where two are to be compared.
+    Candidates share a band of the MinHash signature; all members of a bucket are compared with each
+    other and linked where the exact similarity of their shingles is ``SIMILARITY`` or more, with no
+    more links than connect them, and links chain through the bands. A bucket of more than ``BLOCK``
+    members is dealt into blocks and every two blocks are compared in a group of their own, so a
+    group stays small. Bands carry 64-bit hashes of the openings; texts join only those that share a bucket.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,20 +231,33 @@ def opening_clusters(openings: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["id", "band", "bucket"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        open_group, ids, texts = None, [], []
+
+        def close() -> list[tuple[int, int]]:
+            return [(ids[a], ids[b]) for a, b in links(texts)]
+
         for batch in batches:
-            good = []
-            for a, b in zip(batch["u_text"], batch["v_text"]):
-                x, y = shingles(a), shingles(b)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= SIMILARITY * (len(x) + len(y) - both))
-            yield batch[good][["u", "v"]]
+            found = []
+            groups = zip(batch["band"].tolist(), batch["bucket"].tolist(), batch["lo"].tolist(), batch["hi"].tolist())
+            for group, k, text in zip(groups, batch["id"].tolist(), batch["opening"]):
+                if group != open_group:
+                    found += close()
+                    open_group, ids, texts = group, [], []
+                ids.append(k)
+                texts.append(text)
+            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+        yield pd.DataFrame(close(), columns=["u", "v"], dtype="int64")
 
     named = openings.withColumn("id", F.xxhash64("opening"))
     placed = cut(named.mapInPandas(run, "id long, band int, bucket long"))
-    least = placed.groupBy("band", "bucket").agg(F.min("id").alias("v"))
-    pairs = placed.join(least, ["band", "bucket"]).select(F.col("id").alias("u"), "v").where("u <> v").distinct()
-    text = lambda end: named.select(F.col("id").alias(end), F.col("opening").alias(f"{end}_text"))
-    linked = pairs.join(text("u"), "u").join(text("v"), "v").select("u", "v", "u_text", "v_text").mapInPandas(verify, "u long, v long")
+    shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = placed.join(shared, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), blocks))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("id", "band", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    group = ["band", "bucket", "lo", "hi"]
+    members = dealt.join(named, "id").repartition(*group).sortWithinPartitions(*group)
+    linked = members.mapInPandas(verify, "u long, v long")
     return named.join(components(linked).withColumnRenamed("vertex", "id"), "id").select("opening", F.col("component").cast("string").alias("cluster"))
 
 

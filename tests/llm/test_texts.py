@@ -253,6 +253,53 @@ def test_openings_cluster_by_verified_similarity(spark):
     assert set(got) == {long, long + " sir"} and len(set(got.values())) == 1
 
 
+def similar(a, b):
+    x, y = (set(pairs.shingles(t).tolist()) for t in (a, b))
+    return len(x & y) >= pairs.SIMILARITY * len(x | y)
+
+
+def classes(members, linked):
+    of = {m: m for m in members}
+    for a, b in linked:
+        of = {m: of[b] if c == of[a] else c for m, c in of.items()}
+    groups = {}
+    for m, c in of.items():
+        groups.setdefault(c, set()).add(m)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+@pytest.mark.parametrize("block", [2_000, 3])
+def test_opening_clusters_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(pairs, "BLOCK", block)
+    rng = random.Random(7)
+    texts = set()
+    for family in range(12):
+        base = [f"w{family}x{i}" for i in range(40)]
+        for _ in range(12):
+            start, end = rng.choice([(0, 40), (0, 36), (0, 24), (4, 40), (16, 40), (8, 34)])
+            tail = [f"t{rng.randrange(10**6)}" for _ in range(rng.randrange(3))]
+            texts.add(" ".join(base[start:end] + tail))
+    texts = sorted(texts)
+    linked = [(a, b) for i, a in enumerate(texts) for b in texts[:i] if similar(a, b)]
+    got = {}
+    for r in pairs.opening_clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect():
+        got.setdefault(r.cluster, set()).add(r.opening)
+    assert {frozenset(g) for g in got.values()} == classes(texts, linked)
+
+
+def test_a_dissimilar_smallest_opening_hides_no_link(spark):
+    rng = random.Random(0)
+    base = [f"w{i}" for i in range(44)]
+    texts = [" ".join(base), " ".join([*base[:36], "t0"])]
+    shapes = [(rng.choice([0, 1, 2, 3]), rng.choice([10, 11, 12, 13])) for _ in range(40)]
+    texts += [" ".join(base[start:] + [f"r{rng.randrange(10**6)}" for _ in range(more)]) for start, more in shapes]
+    linked = [(a, b) for i, a in enumerate(texts) for b in texts[:i] if similar(a, b)]
+    got = {}
+    for r in pairs.opening_clusters(spark.createDataFrame([(t,) for t in texts], "opening string")).collect():
+        got.setdefault(r.cluster, set()).add(r.opening)
+    assert {frozenset(g) for g in got.values()} == classes(texts, linked)
+
+
 def test_disguises_fall_away():
     assert toxicity.plain("You 1d10t") == toxicity.plain("you IDIOT") == toxicity.plain("You iddddiot") == toxicity.plain("you i.d.i.o.t") == "you idiot"
     assert toxicity.plain("n-a-k-e-d r a t s") == "naked rats" and "*" in toxicity.plain("s**t")
