@@ -31,6 +31,19 @@ class Completer(ABC):
     @abstractmethod
     def complete(self, requests: DataFrame) -> DataFrame: ...
 
+    def ask(self) -> Ask:
+        """The same model as a function ``(stage, prompt, inputs)``, for stages that build on their own replies."""
+        name = self.name
+
+        def none(stage: str, prompt: str, inputs: dict[str, str]) -> str:
+            raise NotImplementedError(f"{name} answers no sequential stage ({stage})")
+
+        return none
+
+    def capped(self, limit: int | None) -> Completer:
+        """This completer with at most ``limit`` calls open at once, where it makes calls and has no cap of its own."""
+        return self
+
 
 @dataclass(frozen=True)
 class Reply:
@@ -38,6 +51,7 @@ class Reply:
     finish_reason: str
 
 
+Ask = Callable[[str, str, dict[str, str]], str]
 Call = Callable[[list[dict[str, str]], int | None], Reply]
 
 

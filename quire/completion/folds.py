@@ -13,23 +13,32 @@ from collections.abc import Callable, Iterable
 import pandas as pd
 
 from quire.completion import prompts
-from quire.completion.base import with_continuation
-from quire.completion.http import Backend, Send, call, post
+from quire.completion.base import Ask
 from quire.functions.json_text import safe_extract_json
 
-Ask = Callable[[str, str, dict[str, str]], str]
 TAG = re.compile(r"<physical_index_(\d+)>\n(.*?)\n<physical_index_\1>\n\n", re.DOTALL)
 NUMBERED = re.compile(r"^\s*(?:#+\s*)?(\d+(?:\.\d+)*)\.?[ \t]+(\S.{0,80})$")
 LISTED = re.compile(r"^\s*(\d+(?:\.\d+)*)?\.?\s*(\S.*?)[ .]{2,}(\d+)\s*$")
 
 
+LISTED_PAGE = 3
+
+
 def tagged_pages(content: str) -> list[tuple[int, str]]:
     """Numbers and texts of the pages of a group."""
     return [(int(n), text) for n, text in TAG.findall(content)]
 
 
+def is_listing(text: str) -> bool:
+    """Whether a page is itself a table of contents: ``LISTED_PAGE`` lines or more end in a number."""
+    return sum(LISTED.match(line) is not None for line in text.split("\n")) >= LISTED_PAGE
+
+
 def rule_ask(stage: str, prompt: str, inputs: dict[str, str]) -> str:
-    """Deterministic replies: numbered lines are sections, listed lines are entries of a table of contents."""
+    """Deterministic replies: numbered lines are sections, listed lines are entries of a table of contents.
+
+    An entry's page is the first that holds its title and is no table of contents itself.
+    """
     if stage in ("first_sections", "more_sections"):
         known = {i["title"] for i in json.loads(inputs.get("toc") or "[]")}
         found = []
@@ -47,21 +56,12 @@ def rule_ask(stage: str, prompt: str, inputs: dict[str, str]) -> str:
         for item in items:
             title = re.sub(r"\s+", "", str(item.get("title", ""))).lower()
             for number, text in tagged_pages(inputs["content"]):
-                if item.get("physical_index") is None and title and title in re.sub(r"\s+", "", text).lower():
+                if item.get("physical_index") is None and title and not is_listing(text) and title in re.sub(r"\s+", "", text).lower():
                     item["physical_index"] = f"<physical_index_{number}>"
         return json.dumps(items)
     raise ValueError(f"no rule for {stage}")
 
 
-def backend_ask(backend: Backend, retries: int = 10, delay: float = 1.0, send: Send = post) -> Ask:
-    """Questions to a hosted model, with retry and continuation."""
-
-    def ask(stage: str, prompt: str, inputs: dict[str, str]) -> str:
-        return with_continuation(lambda m, n: call(backend, m, n, send), prompt, backend.name, retries=retries, delay=delay).text
-
-    return ask
-
-
 def _rows(value: object) -> list[dict]:
     if isinstance(value, dict):
         value = value.get("table_of_contents", [])

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field, replace
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from quire.completion.base import Completer, Reply, with_continuation
+from quire.completion.base import Ask, Completer, Reply, with_continuation
 from quire.schemas import COMPLETIONS
 
 
@@ -45,6 +45,10 @@ BACKENDS = {
 }
 
 
+# Short names of hosted models.
+MODEL_ALIASES = {"haiku": "claude-haiku-4-5-20251001", "sonnet": "claude-sonnet-4-6", "opus": "claude-opus-4-6"}
+
+
 def compatible(base_url: str, model: str, key_env: str | None = None, timeout: int = 120) -> Backend:
     """Any service that speaks the chat format."""
     return Backend("compatible", base_url, model, key_env, timeout=timeout)
@@ -92,13 +96,28 @@ class HttpCompleter(Completer):
     """Calls a backend for every distinct request.
 
     Each partition keeps at most ``inflight`` calls open, so the whole cluster keeps at most that
-    times the running tasks. Failures become rows with ``status`` ``error``; tasks do not fail.
+    times the running tasks; ``partitions=1`` makes it the cap of the whole job. Without ``inflight``
+    the cap comes from the settings of the builder that uses it. Failures become rows with ``status``
+    ``error``; tasks do not fail.
     """
 
-    def __init__(self, backend: Backend, inflight: int = 5, retries: int = 10, delay: float = 1.0, partitions: int | None = None, send: Send = post) -> None:
+    def __init__(self, backend: Backend, inflight: int | None = None, retries: int = 10, delay: float = 1.0, partitions: int | None = None, send: Send = post) -> None:
         self.backend, self.inflight, self.retries, self.delay, self.partitions, self.send = backend, inflight, retries, delay, partitions, send
         self.name = backend.name
 
+    def capped(self, limit: int | None) -> HttpCompleter:
+        if self.inflight is not None or limit is None:
+            return self
+        return HttpCompleter(self.backend, limit, self.retries, self.delay, self.partitions, self.send)
+
+    def ask(self) -> Ask:
+        backend, retries, delay, send = self.backend, self.retries, self.delay, self.send
+
+        def one(stage: str, prompt: str, inputs: dict[str, str]) -> str:
+            return with_continuation(lambda m, n: call(backend, m, n, send), prompt, backend.name, retries=retries, delay=delay).text
+
+        return one
+
     def complete(self, requests: DataFrame) -> DataFrame:
         backend, inflight, retries, delay, send = self.backend, self.inflight, self.retries, self.delay, self.send
 
@@ -122,21 +141,71 @@ class HttpCompleter(Completer):
         return (once.repartition(self.partitions) if self.partitions else once).mapInPandas(run, COMPLETIONS)
 
 
-def local_model(path: str, max_new_tokens: int = 2048) -> Callable[[list[dict[str, str]]], Reply]:
-    """A fine-tuned model on this worker's device; needs an optional library."""
-    try:
-        from transformers import pipeline
-    except ImportError as error:
-        raise ImportError("a local model needs the transformers library") from error
-    generate = pipeline("text-generation", model=path)
+_LOCAL: dict[tuple[str, bool], Callable[[list[dict[str, str]]], str]] = {}
+
+
+def local_model(path: str, max_new_tokens: int = 2048, four_bit: bool = True) -> Callable[[list[dict[str, str]]], Reply]:
+    """A fine-tuned model on this worker's device, loaded once per process; needs an optional library."""
+
+    def load() -> Callable[[list[dict[str, str]]], str]:
+        try:
+            from transformers import pipeline
+        except ImportError as error:
+            raise ImportError("a local model needs the transformers library") from error
+        options: dict = {}
+        if four_bit:
+            from transformers import BitsAndBytesConfig
+
+            options = {"device_map": "auto", "model_kwargs": {"quantization_config": BitsAndBytesConfig(load_in_4bit=True)}}
+        generate = pipeline("text-generation", model=path, **options)
+
+        def text_of(messages: list[dict[str, str]]) -> str:
+            text = generate(messages, max_new_tokens=max_new_tokens, do_sample=False)[0]["generated_text"]
+            return text if isinstance(text, str) else text[-1]["content"]
+
+        return text_of
 
     def ask(messages: list[dict[str, str]]) -> Reply:
-        text = generate(messages, max_new_tokens=max_new_tokens, do_sample=False)[0]["generated_text"]
-        return Reply(text if isinstance(text, str) else text[-1]["content"], "stop")
+        if (path, four_bit) not in _LOCAL:
+            _LOCAL[path, four_bit] = load()
+        return Reply(_LOCAL[path, four_bit](messages), "stop")
 
     return ask
 
 
+class LocalCompleter(Completer):
+    """A model that runs inside the Python workers, one request after the other in each.
+
+    ``generate`` is any picklable function of messages, ``local_model(path)`` for one on disk. A
+    failure is a row with ``status`` ``error``.
+    """
+
+    name = "local"
+
+    def __init__(self, generate: Callable[[list[dict[str, str]]], Reply]) -> None:
+        self.generate = generate
+
+    def ask(self) -> Ask:
+        generate = self.generate
+        return lambda stage, prompt, inputs: generate([{"role": "user", "content": prompt}]).text
+
+    def complete(self, requests: DataFrame) -> DataFrame:
+        generate = self.generate
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for key, prompt in zip(batch["req_id"], batch["prompt"]):
+                    try:
+                        reply = generate([{"role": "user", "content": prompt}])
+                        rows.append((key, reply.text, reply.finish_reason, "ok", None))
+                    except Exception as error:
+                        rows.append((key, None, None, "error", f"{type(error).__name__}: {error}"))
+                yield pd.DataFrame(rows, columns=["req_id", "text", "finish_reason", "status", "error"])
+
+        return requests.select("req_id", "prompt").dropDuplicates(["req_id"]).mapInPandas(run, COMPLETIONS)
+
+
 def models_of(backend: Backend, send_get: Callable[[str], dict] | None = None) -> list[str]:
     """Names of the models a local server holds."""
     url = backend.base_url.removesuffix("/v1") + "/api/tags"
@@ -157,5 +226,5 @@ def is_available(backend: Backend, send_get: Callable[[str], dict] | None = None
 
 
 def with_model(name: str, model: str) -> Backend:
-    """A known backend with another model."""
-    return replace(BACKENDS[name], model=model)
+    """A known backend with another model, which may be a short name of ``MODEL_ALIASES``."""
+    return replace(BACKENDS[name], model=MODEL_ALIASES.get(model, model) if name == "claude" else model)

@@ -68,13 +68,18 @@ def summarize(text: str) -> str:
     return f"Describe in a few sentences what this part of a document covers. Reply with the description only.\n\nText:\n{text}"
 
 
+def as_json(value: object) -> str:
+    """JSON text as it is given, any other value as JSON."""
+    return value if isinstance(value, str) else json.dumps(value, indent=2, ensure_ascii=False)
+
+
 def describe(structure: object) -> str:
-    return f"Describe in one sentence what sets this document apart from others. Reply with the sentence only.\n\nStructure:\n{json.dumps(structure, indent=2)}"
+    return f"Describe in one sentence what sets this document apart from others. Reply with the sentence only.\n\nStructure:\n{as_json(structure)}"
 
 
 def search(query: str, tree: object, preference: str | None = None) -> str:
     hint = f"\n\nAdvice from an expert: {preference}" if preference else ""
-    return f'Which nodes of the tree are likely to hold the answer? Most relevant first.{hint}\n{_JSON} {{"thinking": "...", "node_list": ["0003", "0007"]}}\n\nQuestion: {query}\n\nTree:\n{json.dumps(tree, indent=2)}'
+    return f'Which nodes of the tree are likely to hold the answer? Most relevant first.{hint}\n{_JSON} {{"thinking": "...", "node_list": ["0003", "0007"]}}\n\nQuestion: {query}\n\nTree:\n{as_json(tree)}'
 
 
 def answer(query: str, context: str) -> str:

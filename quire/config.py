@@ -9,7 +9,11 @@ MODES = ("toc_with_pages", "toc_no_pages", "no_toc")
 
 @dataclass(frozen=True)
 class Settings:
-    """Knobs of tree building; values enter plans as literals."""
+    """Knobs of tree building; values enter plans as literals.
+
+    The names and defaults down to ``overlap_pages`` are fixed values: the public settings that a
+    user of the described pipeline knows.
+    """
 
     model: str = "llama-3.3-70b-versatile"
     toc_check_pages: int = 20
@@ -24,4 +28,3 @@ class Settings:
     accuracy_gate: float = 0.6
     fix_rounds: int = 3
     fix_window: int = 5
-    max_depth: int = 8

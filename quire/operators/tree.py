@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from quire.functions.text import pad_id, strip
 from quire.runtime import cut
@@ -34,25 +36,32 @@ def parent_positions(items: DataFrame) -> DataFrame:
     return found.where("side = 0").select("row.*", "parent_pos")
 
 
-def paths(items: DataFrame, max_depth: int = 64) -> DataFrame:
-    """Items with ``path``, the positions from the root down, and ``depth``: level by level from the roots.
+def paths(items: DataFrame) -> DataFrame:
+    """Items with ``path``, the positions from the root down, and ``depth``, for trees of any depth.
 
-    Every level is one equi-join on the parent's position; the loop ends with the deepest level.
+    One shuffle: the items of a document stream in order through one task, which keeps the paths of
+    that document only. An item whose parent is no earlier item of its document is a root.
     """
-    rows = cut(items)
-    level = rows.where("parent_pos is null").withColumn("path", F.array("pos")).withColumn("depth", F.lit(1))
-    done = level
-    children = rows.where("parent_pos is not null")
-    for depth in range(2, max_depth + 1):
-        above = level.select("doc_id", F.col("pos").alias("parent_pos"), F.col("path").alias("above"))
-        level = children.join(above, ["doc_id", "parent_pos"]).select(
-            *children.columns, F.array_append("above", F.col("pos")).alias("path"), F.lit(depth).alias("depth")
-        )
-        level = cut(level)
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return done
+    ordered = items.repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+    place = {c: items.columns.index(c) for c in ("doc_id", "pos", "parent_pos")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_doc: object = None
+        above: dict[int, list[int]] = {}
+        for batch in batches:
+            docs, own, parents = (batch.column(place[c]).to_pylist() for c in ("doc_id", "pos", "parent_pos"))
+            out: list[list[int]] = []
+            for doc, pos, parent in zip(docs, own, parents):
+                if doc != open_doc:
+                    open_doc, above = doc, {}
+                path = [*above.get(parent, ()), pos]
+                above[pos] = path
+                out.append(path)
+            depths = pa.array(map(len, out), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32())), depths], [*batch.schema.names, "path", "depth"])
+
+    schema = StructType([*items.schema.fields, StructField("path", ArrayType(IntegerType())), StructField("depth", IntegerType())])
+    return ordered.mapInArrow(run, schema)
 
 
 def number(tree: DataFrame) -> DataFrame:
@@ -72,8 +81,9 @@ def build(items: DataFrame, total_pages: Column, ids: bool = True) -> DataFrame:
 def add_text(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Nodes with the text of their pages, joined by blank lines, stripped, null when empty.
 
-    The range becomes one row per page and joins on equality; pages stream through an ordered
-    aggregate. Filter the nodes first: only their pages are read into the join.
+    The range becomes one row per page and joins on equality. All pages of a node are gathered into
+    its one row, which is the size of the text it gets. Filter the nodes first: only their pages are
+    read into the join.
     """
     spread = nodes.where("start_index <= end_index").select(
         "doc_id", F.col("pos"), F.explode(F.sequence("start_index", "end_index")).alias("page_number")

@@ -12,7 +12,7 @@ from quire.completion.base import Completer, req_id
 from quire.completion.offline import RuleCompleter
 from quire.config import MODES, Settings
 from quire.functions.json_text import is_yes, node_list, parse_index, repair_json
-from quire.functions.text import tag_page
+from quire.functions.text import strip, tag_page
 from quire.operators import chunk, toc, tree, verify
 from quire.operators.search import NOTHING, search
 from quire.runtime import cut
@@ -21,11 +21,17 @@ FAILED = "All three processing modes failed to give a section list that fits the
 
 
 def prompt_column(build, *columns: Column) -> Column:
-    """A prompt of a fixed wording around texts, as a concatenation: ``build`` is called once with marks."""
-    marks = [f"\x00{i}\x00" for i in range(len(columns))]
+    """A prompt of a fixed wording around texts, as a concatenation: ``build`` is called once with marks.
+
+    The texts stand in the prompt in the order and as they are given; a wording that loses, repeats or
+    swaps a mark is an error.
+    """
+    marks = [f"[[quire text {i}]]" for i in range(len(columns))]
     text = build(*marks)
     parts: list[Column] = []
     for mark, column in zip(marks, columns):
+        if text.count(mark) != 1:
+            raise ValueError(f"the prompt does not hold text {mark} once and in order")
         before, _, text = text.partition(mark)
         parts += [F.lit(before), F.coalesce(column.cast("string"), F.lit(""))]
     return F.concat(*parts, F.lit(text))
@@ -36,20 +42,31 @@ class TreeBuilder:
     """The pipeline over any number of documents at once.
 
     Documents stand in different modes side by side; each pass handles those of one mode and hands
-    the failed on. Completions are materialised before they are used, so none is asked twice.
+    the failed on. Completions are materialised before they are used, so none is asked twice. One
+    completer serves every stage: sequential folds ask through ``completer.ask()`` unless ``ask`` is
+    given. ``requested`` counts the requests of each stage since the builder was made.
     """
 
     settings: Settings = field(default_factory=Settings)
     completer: Completer = field(default_factory=RuleCompleter)
-    ask: folds.Ask = folds.rule_ask
+    ask: folds.Ask | None = None
+    requested: dict[str, int] = field(default_factory=dict)
+    count_requests: bool = False
+
+    def __post_init__(self) -> None:
+        self.completer = self.completer.capped(self.settings.max_concurrent_llm_calls)
+        if self.ask is None:
+            self.ask = self.completer.ask()
 
     def _complete(self, rows: DataFrame, stage: str, prompt: Column, keys: list[str], **inputs: Column) -> DataFrame:
         """``keys`` and ``reply`` of one stage."""
         given = F.create_map(*[x for k, v in inputs.items() for x in (F.lit(k), v.cast("string"))])
         requests = rows.select(*keys, prompt.alias("prompt"), given.alias("inputs")).withColumn("req_id", req_id(self.completer.name, F.col("prompt")))
         requests = cut(requests.withColumn("stage", F.lit(stage)).withColumn("key", F.lit(None).cast("string")))
+        if self.count_requests:
+            self.requested[stage] = self.requested.get(stage, 0) + requests.select("req_id").distinct().count()
         done = cut(self.completer.complete(requests.select("req_id", F.lit(None).cast("long").alias("doc_id"), "stage", "key", "prompt", "inputs")))
-        return requests.select(*keys, "req_id").join(done.select("req_id", F.col("text").alias("reply"), "status"), "req_id").drop("req_id")
+        return requests.select(*keys, "req_id").join(done.select("req_id", F.col("text").alias("reply"), "status", "error"), "req_id").drop("req_id")
 
     def _field(self, reply: Column, name: str) -> Column:
         return F.get_json_object(repair_json(reply), f"$.{name}")
@@ -74,19 +91,23 @@ class TreeBuilder:
     def _groups(self, pages: DataFrame) -> DataFrame:
         return chunk.group_page_contents(pages, self.settings.max_tokens_per_node, self.settings.overlap_pages)
 
-    def sections(self, mode: str, docs: DataFrame, pages: DataFrame) -> DataFrame:
-        """Normalised items ``(doc_id, pos, structure, title, physical_index)`` of the documents, in one mode."""
+    def sections(self, mode: str, docs: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Normalised items ``(doc_id, pos, structure, title, physical_index)`` of the documents, in one mode.
+
+        The second table ``(doc_id, error)`` holds the calls that failed, one row per document.
+        """
         groups = self._groups(pages.join(docs.select("doc_id"), "doc_id", "left_semi")).join(docs.select("doc_id", F.col("toc_content").alias("toc")), "doc_id")
         if mode == MODES[0]:
             prompt = prompt_column(prompts.index_toc, F.col("toc"), F.col("text"))
-            replies = self._complete(groups, "index_toc", prompt, ["doc_id", "group_no"], toc=F.col("toc"), content=F.col("text"))
+            replies = cut(self._complete(groups, "index_toc", prompt, ["doc_id", "group_no"], toc=F.col("toc"), content=F.col("text")))
             items = F.from_json(repair_json(F.col("reply")), "array<struct<structure:string,title:string,physical_index:string>>")
             rows = replies.select("doc_id", F.col("group_no").alias("batch"), F.posexplode(items).alias("pos", "i"))
             named = rows.select("doc_id", "batch", "pos", "i.structure", "i.title", parse_index(F.col("i.physical_index")).alias("physical_index"))
-            return toc.normalize_items(toc.merge_batches(named))
+            failed = replies.where("error is not null").groupBy("doc_id").agg(F.min_by("error", "group_no").alias("error"))
+            return toc.normalize_items(toc.merge_batches(named)), failed
         run = folds.folded("no_toc" if mode == MODES[2] else "toc_no_pages", self.ask)
-        found = groups.select("doc_id", "group_no", "text", "toc").groupBy("doc_id").applyInPandas(run, folds.SCHEMA)
-        return toc.normalize_items(found.where("error is null"))
+        found = cut(groups.select("doc_id", "group_no", "text", "toc").groupBy("doc_id").applyInPandas(run, folds.SCHEMA))
+        return toc.normalize_items(found.where("error is null")), found.where("error is not null").select("doc_id", "error")
 
     def checked(self, items: DataFrame, pages: DataFrame, stage: str, build, answer: str) -> DataFrame:
         """Items with ``ok`` as one question each tells; without such a page the answer is no."""
@@ -122,16 +143,21 @@ class TreeBuilder:
         """``(items, failures)``: verified lists, and the documents for which every mode failed.
 
         At most one pass a mode: a list of which at most ``accuracy_gate`` holds sends the document to
-        the next mode, a better one is corrected in up to ``fix_rounds`` rounds.
+        the next mode, a better one is corrected in up to ``fix_rounds`` rounds. A failure names the
+        errors of the calls that led to it, mode by mode.
         """
         docs = self.detect_toc(pages) if probe is None else probe
         totals = cut(pages.groupBy("doc_id").agg(F.max("page_number").alias("total")))
         done: DataFrame | None = None
+        errors: DataFrame | None = None
         waiting = docs
         for number, mode in enumerate(MODES):
             now = cut(waiting.where(F.col("mode") == mode))
             rest = waiting.where(F.col("mode") != mode)
-            items = toc.in_range(self.sections(mode, now, pages).join(totals, "doc_id"), F.col("total")).drop("total")
+            listed, broken = self.sections(mode, now, pages)
+            broken = broken.select("doc_id", F.lit(number).alias("n"), F.concat(F.lit(f"{mode}: "), "error").alias("error"))
+            errors = broken if errors is None else errors.unionByName(broken)
+            items = toc.in_range(listed.join(totals, "doc_id"), F.col("total")).drop("total")
             judged = cut(self.checked(cut(items), pages, "title_appears", prompts.title_appears, "answer"))
             routed = cut(verify.route(verify.accuracy(judged), self.settings.accuracy_gate))
             good = judged.join(routed.where("route <> 'fallback'").select("doc_id"), "doc_id", "left_semi")
@@ -144,8 +170,10 @@ class TreeBuilder:
             failed = now.join(routed.where("route <> 'fallback'").select("doc_id"), "doc_id", "left_anti")
             following = MODES[number + 1] if number + 1 < len(MODES) else "failed"
             waiting = cut(rest.unionByName(failed.withColumn("mode", F.lit(following))))
-        assert done is not None
-        return cut(done), waiting.select("doc_id", F.lit(FAILED).alias("error"))
+        assert done is not None and errors is not None
+        told = errors.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("n", "error")))["error"], "; ").alias("error"))
+        failed = waiting.select("doc_id").join(told, "doc_id", "left")
+        return cut(done), cut(failed.select("doc_id", F.concat_ws(" ", F.lit(FAILED), "error").alias("error")))
 
     def assemble(self, items: DataFrame, pages: DataFrame) -> DataFrame:
         """The numbered tree of verified items: starts, preface, ranges, parents, subdivision."""
@@ -162,11 +190,13 @@ class TreeBuilder:
         """Leaves over the page and token limits get children from their own pages, until nothing shrinks.
 
         Only leaves are expanded, children keep within the leaf's old range, and a leaf whose children
-        would not be smaller stays as it is; ``max_depth`` rounds bound the loop.
+        would not be smaller stays as it is, so every round works on smaller ranges and the loop ends. A
+        first child that repeats its leaf's title is the leaf itself and is left out. A leaf whose call
+        fails stays whole.
         """
         s = self.settings
         frontier = nodes
-        for _ in range(s.max_depth):
+        while True:
             large = cut(verify.large_nodes(frontier, pages, s.max_pages_per_node, s.max_tokens_per_node))
             if large.isEmpty():
                 break
@@ -175,11 +205,13 @@ class TreeBuilder:
             spread = inner.select("node_key", "doc_id", F.explode(F.sequence("start_index", "end_index")).alias("page_number"))
             own = spread.join(pages, ["doc_id", "page_number"]).select(F.col("node_key").alias("doc_id"), "page_number", "text", "token_count")
             docs = inner.select(F.col("node_key").alias("doc_id"), F.lit(None).cast("string").alias("toc_content"))
-            items = self.sections(MODES[2], docs, own)
+            items, _ = self.sections(MODES[2], docs, own)
             started = self.checked(cut(items), own, "title_at_start", prompts.title_at_start, "start_begin")
             started = started.withColumn("appear_start", F.when(F.col("ok"), "yes").otherwise("no")).withColumnsRenamed({"doc_id": "node_key", "title": "sub_title"})
             outer = inner.withColumnsRenamed({"pos": "leaf_pos", "path": "leaf_path", "depth": "leaf_depth", "start_index": "lo", "end_index": "hi"})
-            within = started.join(outer, "node_key").where("physical_index between lo and hi and trim(sub_title) <> trim(title)")
+            within = started.join(outer, "node_key").where("physical_index between lo and hi")
+            first = F.col("pos") == F.min("pos").over(Window.partitionBy("node_key"))
+            within = within.withColumn("own", first & strip(F.col("sub_title")).eqNullSafe(strip(F.col("title")))).where("not own").drop("own")
             ranged = toc.boundaries(within.drop("doc_id").withColumnRenamed("node_key", "doc_id"), F.col("hi")).withColumnRenamed("doc_id", "node_key")
             smaller = ranged.where("not (start_index = lo and end_index = hi)")
             last = nodes.groupBy("doc_id").agg(F.max("pos").alias("last"))
@@ -198,7 +230,7 @@ class TreeBuilder:
         return nodes
 
     def build(self, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """``(nodes, failures)`` of all documents: ids, optional text, summaries."""
+        """``(nodes, failures)`` of all documents: ids, optional text, summaries, optional ``doc_description``."""
         s = self.settings
         pages = cut(pages)
         items, failures = self.section_lists(pages)
@@ -208,6 +240,8 @@ class TreeBuilder:
         if s.add_node_text or s.add_summaries:
             nodes = cut(tree.add_text(nodes, pages))
         nodes = self.summarize(nodes) if s.add_summaries else nodes.withColumn("summary", F.lit(None).cast("string"))
+        if s.add_doc_description:
+            nodes = nodes.join(self.describe(nodes), "doc_id", "left")
         return (nodes if s.add_node_text else tree.remove_text(nodes)), failures
 
     def summarize(self, nodes: DataFrame) -> DataFrame:
@@ -217,8 +251,8 @@ class TreeBuilder:
         return nodes.drop("summary").join(good, ["doc_id", "pos"], "left")
 
     def describe(self, nodes: DataFrame) -> DataFrame:
-        """``(doc_id, doc_description)`` from the tree without its texts."""
-        structure = tree.to_json(nodes, ("title", "node_id", "summary"))
+        """``(doc_id, doc_description)`` from the tree without its texts; null where the call fails."""
+        structure = tree.to_json(nodes, ("title", "start_index", "end_index", "node_id", "summary"))
         asked = self._complete(structure, "describe", prompt_column(prompts.describe, F.col("structure")), ["doc_id"], text=F.col("structure"))
         return asked.select("doc_id", F.when(F.col("status") == "ok", F.col("reply")).alias("doc_description"))
 

@@ -426,7 +426,7 @@ def md_thin(spark: SparkSession, d: str) -> DataFrame:
 
 # Search and answers.
 
-ASKED = rf"""questions AS (SELECT CAST(doc_id * 1000 + pos AS BIGINT) AS query_id, doc_id, title AS question FROM numbered WHERE pos % 4 = 1 AND title IS NOT NULL),
+ASKED = rf"""questions AS (SELECT CAST(doc_id * 1000 + pos AS BIGINT) AS query_id, doc_id, title AS question FROM numbered WHERE title IS NOT NULL),
     asked AS (SELECT DISTINCT query_id, doc_id, unnest(regexp_split_to_array(lower(question), '[^\p{{L}}\p{{N}}]+')) AS term FROM questions),
     held AS (SELECT DISTINCT doc_id, node_id, unnest(regexp_split_to_array(lower(concat_ws(' ', title, summary)), '[^\p{{L}}\p{{N}}]+')) AS term FROM numbered),
     scored AS (SELECT query_id, a.doc_id, node_id, count(*) AS score FROM asked a JOIN held h ON h.doc_id = a.doc_id AND h.term = a.term WHERE length(a.term) >= 3 GROUP BY ALL),
@@ -435,7 +435,7 @@ ASKED = rf"""questions AS (SELECT CAST(doc_id * 1000 + pos AS BIGINT) AS query_i
 
 def questions(nodes: DataFrame) -> DataFrame:
     key = (F.col("doc_id") * 1000 + F.col("pos")).alias("query_id")
-    return nodes.where("pos % 4 = 1 and title is not null").select(key, "doc_id", F.col("title").alias("question"))
+    return nodes.where("title is not null").select(key, "doc_id", F.col("title").alias("question"))
 
 
 @query(f"""{TREE}, {ASKED} SELECT q.query_id, q.doc_id, coalesce(string_agg(r.node_id, ',' ORDER BY r.rank), '') AS node_ids

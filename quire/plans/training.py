@@ -42,9 +42,18 @@ def search_examples(nodes: DataFrame, structures: DataFrame) -> DataFrame:
 def split(examples: DataFrame, key: Column, eval_share: float = 0.1, seed: str = "") -> DataFrame:
     """Examples with ``split``: the first share by a seeded hash is ``eval``, at least one row, the rest ``train``.
 
-    The border is the hash at that rank, found by an ordered limit: no row is numbered in one task.
+    The border is the hash at that rank. Rows are counted by the first four digits of their hash, at
+    most 65,536 counts, and only the one group that holds the border is ordered: a 65,536th of all
+    rows. Equal keys share a hash and so a split.
     """
     hashed = examples.withColumn("_h", F.md5(F.concat(F.lit(seed), key.cast("string"))))
-    take = max(1, int(hashed.count() * eval_share))
-    border = hashed.select("_h").orderBy("_h").limit(take).agg(F.max("_h")).first()[0]
+    group = F.substring("_h", 1, 4)
+    counts = sorted((r["g"], r["n"]) for r in hashed.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n")).collect() if r["g"] is not None)
+    take = max(1, int(sum(n for _, n in counts) * eval_share))
+    border, before = "", 0
+    for name, n in counts:
+        if before + n >= take:
+            border = hashed.where(group == name).select("_h").orderBy("_h").limit(take - before).agg(F.max("_h")).first()[0]
+            break
+        before += n
     return hashed.withColumn("split", F.when(F.col("_h") <= F.lit(border), "eval").otherwise("train")).drop("_h")

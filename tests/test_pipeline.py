@@ -88,7 +88,7 @@ def test_a_scripted_model_builds_corrects_and_answers(spark):
         return {"choices": [{"message": {"content": "```json\n" + json.dumps(reply) + "\n```"}, "finish_reason": "stop"}]}
 
     backend = http.compatible("http://none", "m")
-    builder = TreeBuilder(completer=http.HttpCompleter(backend, retries=1, delay=0, send=send), ask=folds.backend_ask(backend, 1, 0, send))
+    builder = TreeBuilder(completer=http.HttpCompleter(backend, retries=1, delay=0, send=send))
     nodes, failures = builder.build(paper(spark))
     rows = nodes.orderBy("node_id").collect()
     assert [(r.title, r.start_index, r.end_index) for r in rows] == [("Introduction", 1, 1), ("Methods", 2, 2), ("Data", 3, 3), ("Results", 4, 5)]
