@@ -1,8 +1,9 @@
 """Broken prompt and response pairs.
 
-Openings of all responses are clustered by verified MinHash. A template that recurs across unrelated
-prompts and speaks of being unable is a refusal; checks for content, copying, language and endings
-label the other defects.
+Openings of all responses, their prompt's title masked, are clustered by verified MinHash. A cluster
+that recurs across unrelated prompts is a template; one that speaks of being unable, or whose
+responses say the same whatever the prompt, is a refusal. Checks for content, copying, language and
+endings label the other defects.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ from quire.runtime import cut, spread
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
 BLOCK = 2_000
 UNRELATED = 3
-MAX_REFUSAL_WORDS, MAX_ASK_WORDS = 45, 9
+MAX_ASK_WORDS = 9
+CACHED_WORDS = 200_000
 
 # Function words by language.
 FUNCTION_WORDS = {
@@ -88,18 +91,26 @@ def words(text: str) -> list[str]:
     return WORD.findall(plain(text))
 
 
+BREAK = re.compile(r"(?<=[.!?。])\s+|\n+")
+
+
 def opening(text: str) -> str:
     """The first sentence of a response, plain."""
-    return plain(re.split(r"(?<=[.!?。])\s+|\n+", visible(text), maxsplit=1)[0])
+    return plain(BREAK.split(visible(text), maxsplit=1)[0])
+
+
+def without_title(shown: str, name: str) -> str:
+    """A plain text with one sign for each mention of its plain title."""
+    return re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", "#", shown) if len(name) > 1 and name in shown else shown
 
 
-def language_hits(text: str) -> list[int]:
-    """Function words of each language in a text; those of one language alone weigh most."""
+def language_hits(found: list[str]) -> list[int]:
+    """Function words of each language among the words of a text; those of one language alone weigh most."""
     hits = [0] * len(LANGUAGES)
-    for word in words(text):
-        places = LANGUAGES_OF.get(word, ())
+    for places in filter(None, map(LANGUAGES_OF.get, found)):
+        weight = SHARED_WEIGHT[len(places)]
         for place in places:
-            hits[place] += SHARED_WEIGHT[len(places)]
+            hits[place] += weight
     return hits
 
 
@@ -113,7 +124,7 @@ def foreign_script(text: str) -> bool:
 def is_copy(title: str, text: str) -> bool:
     """Whether a response only repeats its title or asks for it."""
     name = words(title)
-    if not name:
+    if not name or " ".join(name) not in " ".join(words(text)):
         return False
     seen = False
     for sentence in re.split(r"(?<=[.!?。])[\"”»]*\s+|\n+", visible(text)):
@@ -135,74 +146,115 @@ def is_copy(title: str, text: str) -> bool:
     return seen
 
 
-def refuses(text: str) -> tuple[bool, bool]:
-    """Whether a response's opening refuses in the first person; whether it speaks of being unable at all."""
-    first = QUOTED.sub(" ", opening(text)).strip()
-    if ABOUT_TEXT.search(first) or len(words(text)) > MAX_REFUSAL_WORDS:
-        return False, False
-    return FIRST_PERSON.search(first) is not None, INABILITY.search(first) is not None
+def refuses(text: str) -> tuple[bool, bool, bool]:
+    """Whether a response refuses in the first person, speaks of being unable at all, or reports on a text.
+
+    Its first sentence tells, and the second where the first does not report on a text. Responses of
+    any length count; what stands in quotation marks does not.
+    """
+    first, *more = (QUOTED.sub(" ", plain(part)).strip() for part in BREAK.split(visible(text), maxsplit=2)[:2])
+    if ABOUT_TEXT.search(first):
+        return False, False, True
+    said = [first, *(m for m in more if not ABOUT_TEXT.search(m))]
+    return any(FIRST_PERSON.search(m) for m in said), INABILITY.search(first) is not None, False
+
+
+_HASHES: dict[str, int] = {}
+
+
+def _hash(word: str) -> int:
+    value = _HASHES.get(word)
+    if value is None:
+        if len(_HASHES) >= CACHED_WORDS:
+            _HASHES.clear()
+        value = _HASHES[word] = xxhash.xxh64_intdigest(word) | 1
+    return value
+
+
+def shingle_table(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the ``SHINGLE``-word shingles of all texts in a row, and where those of each text begin.
+
+    A shorter text is one shingle, filled up with empty words.
+    """
+    found = [text.split() for text in texts]
+    sizes = np.array([max(SHINGLE, len(f)) for f in found], dtype=np.int64)
+    flat = np.array([h for f in found for h in ([*map(_hash, f), *[0] * (SHINGLE - len(f))] if len(f) < SHINGLE else map(_hash, f))], dtype=np.uint64)
+    counts = sizes - (SHINGLE - 1)
+    first = np.cumsum(counts) - counts
+    at = np.arange(int(counts.sum())) + np.repeat(np.cumsum(sizes) - sizes - first, counts)
+    value = np.zeros(len(at), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(SHINGLE):
+            value = (value ^ flat[at + k]) * np.uint64(0x9E3779B97F4A7C15)
+            value ^= value >> np.uint64(29)
+    return value, first
 
 
 def shingles(text: str) -> np.ndarray:
-    """Sorted hashes of the ``SHINGLE``-word shingles of a text; of the whole where it is shorter."""
-    found = text.split()
-    parts = [" ".join(found[i : i + SHINGLE]) for i in range(max(1, len(found) - SHINGLE + 1))]
-    return np.unique(np.array([xxhash.xxh64_intdigest(p) for p in parts], dtype=np.uint64))
+    """Sorted distinct shingles of one text."""
+    return np.unique(shingle_table([text])[0])
 
 
 _SEEDS = np.array([xxhash.xxh64_intdigest(f"minhash {i}") | 1 for i in range(2 * BANDS * ROWS)], dtype=np.uint64)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
-    """One signed 64-bit bucket per band of the MinHash signature."""
+def bands(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One signed 64-bit bucket per text and band of the MinHash signature, texts in rows."""
+    out = np.zeros((len(first), BANDS), dtype=np.uint64)
     with np.errstate(over="ignore"):
-        mixed = hashes[:, None] * _SEEDS[None, : BANDS * ROWS] + _SEEDS[None, BANDS * ROWS :]
-        mixed ^= mixed >> np.uint64(31)
-        least = mixed.min(axis=0).reshape(BANDS, ROWS)
-        bucket = np.zeros(BANDS, dtype=np.uint64)
-        for row in range(ROWS):
-            bucket = (bucket ^ least[:, row]) * np.uint64(0x9E3779B97F4A7C15)
-        return bucket.view(np.int64).tolist()
+        for band in range(BANDS):
+            for row in range(band * ROWS, (band + 1) * ROWS):
+                mixed = values * _SEEDS[row] + _SEEDS[BANDS * ROWS + row]
+                mixed ^= mixed >> np.uint64(31)
+                out[:, band] = (out[:, band] ^ np.minimum.reduceat(mixed, first)) * np.uint64(0x9E3779B97F4A7C15)
+    return out.view(np.int64)
+
+
+FEATURES = (
+    "key long, tree long, title_hash long, reply long, empty boolean, copied boolean, strong boolean, weak boolean, about boolean, "
+    "foreign boolean, words int, title_hits array<int>, text_hits array<int>, opening string"
+)
 
 
 def features(df: DataFrame) -> DataFrame:
-    """What each pair ``(key, tree, title, text)`` shows by itself: one row per key with a response."""
+    """What each pair ``(key, tree, title, text)`` shows by itself: one row per key with a response.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = "key tree title_hash empty copied strong weak foreign words title_hits text_hits opening".split()
+    ``reply`` is a hash of the response without its title; ``opening`` is its first sentence likewise.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for key, tree, title, text in zip(batch["key"], batch["tree"], batch["title"], batch["text"]):
+            for key, tree, title, text in zip(*(c.to_pylist() for c in batch.columns)):
                 title = title or ""
-                strong, weak = refuses(text)
+                name, found = plain(title), words(text)
+                reply = xxhash.xxh64_intdigest(without_title(plain(text), name)) >> 1
                 rows.append(
-                    (key, tree, xxhash.xxh64_intdigest(plain(title)) >> 1, is_empty(text), is_copy(title, text), strong, weak,
-                     foreign_script(text), len(words(text)), language_hits(title), language_hits(text), opening(text))
+                    (key, tree, xxhash.xxh64_intdigest(name) >> 1, reply, is_empty(text), is_copy(title, text), *refuses(text), foreign_script(text),
+                     len(found), language_hits(words(title)), language_hits(found), without_title(opening(text), name))
                 )
-            yield pd.DataFrame(rows, columns=columns)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
 
-    schema = (
-        "key long, tree long, title_hash long, empty boolean, copied boolean, strong boolean, weak boolean, foreign boolean, "
-        "words int, title_hits array<int>, text_hits array<int>, opening string"
-    )
-    return df.mapInPandas(run, schema)
+    whole, yes, counts = pa.int64(), pa.bool_(), pa.list_(pa.int32())
+    kinds = [whole, whole, whole, whole, yes, yes, yes, yes, yes, yes, pa.int32(), counts, counts, pa.string()]
+    names = [part.split()[0] for part in FEATURES.split(", ")]
+    return df.select("key", "tree", "title", "text").mapInArrow(run, FEATURES)
 
 
-def links(texts: list[str]) -> list[tuple[int, int]]:
+def links(held: list[np.ndarray]) -> list[tuple[int, int]]:
     """Places of pairs of similarity ``SIMILARITY`` or more that connect all texts connected by such pairs.
 
-    Every text is compared with all before it through lists of the texts that hold a shingle; of the
-    similar ones, one of each group connected so far is linked.
+    Every text's shingles are compared with all before it through lists of the texts that hold a
+    shingle; of the similar ones, one of each group connected so far is linked.
     """
     holders: dict[int, list[int]] = {}
-    sizes = np.zeros(len(texts), dtype=np.int64)
-    group = np.arange(len(texts))
+    sizes = np.zeros(len(held), dtype=np.int64)
+    group = np.arange(len(held))
     out = []
-    for at, text in enumerate(texts):
-        own = shingles(text)
+    for at, own in enumerate(held):
         sizes[at] = len(own)
         lists = [holders.setdefault(h, []) for h in own.tolist()]
-        shared = [i for held in lists for i in held]
+        shared = [i for owners in lists for i in owners]
         if shared:
             both = np.bincount(shared, minlength=at)
             near = np.flatnonzero(both >= SIMILARITY * (sizes[:at] + len(own) - both))
@@ -210,55 +262,90 @@ def links(texts: list[str]) -> list[tuple[int, int]]:
             if len(groups):
                 out += [(at, int(i)) for i in near[first]]
                 group[: at + 1][np.isin(group[: at + 1], groups)] = at
-        for held in lists:
-            held.append(at)
+        for owners in lists:
+            owners.append(at)
     return out
 
 
 def opening_clusters(openings: DataFrame) -> DataFrame:
-    """``(opening, cluster)`` for the distinct ``openings(opening)`` that have a near copy.
+    """``(id, opening, cluster)`` for the distinct ``openings(opening)`` that have a near copy.
 
     Candidates share a band of the MinHash signature; all members of a bucket are compared with each
     other and linked where the exact similarity of their shingles is ``SIMILARITY`` or more, with no
-    more links than connect them, and links chain through the bands. A bucket of more than ``BLOCK``
-    members is dealt into blocks and every two blocks are compared in a group of their own, so a
-    group stays small. Bands carry 64-bit hashes of the openings; texts join only those that share a bucket.
+    more links than connect them, and links chain through the bands. A pair of similarity 0.8 shares
+    no band with a probability of 0.0002. A bucket of more than ``BLOCK`` members is dealt into blocks
+    and every two blocks are compared in a group of their own, so a group stays small. Shingles are
+    hashed once; they join only the openings that share a bucket.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, i, b) for k, text in zip(batch["id"], batch["opening"]) for i, b in enumerate(bands(shingles(text)))]
-            yield pd.DataFrame(rows, columns=["id", "band", "bucket"])
+            values, first = shingle_table(batch.column(1).to_pylist())
+            buckets = bands(values, first) if len(first) else np.zeros((0, BANDS), dtype=np.int64)
+            ends = [*first[1:].tolist(), len(values)]
+            grams = [np.unique(values[a:b]).view(np.int64) for a, b in zip(first.tolist(), ends)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets.tolist(), pa.list_(pa.int64())), pa.array(grams, pa.list_(pa.int64()))], ["id", "buckets", "grams"])
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_group, ids, texts = None, [], []
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_group, ids, held = None, [], []
 
         def close() -> list[tuple[int, int]]:
-            return [(ids[a], ids[b]) for a, b in links(texts)]
+            return [(ids[a], ids[b]) for a, b in links(held)]
+
+        def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for batch in batches:
             found = []
-            groups = zip(batch["band"].tolist(), batch["bucket"].tolist(), batch["lo"].tolist(), batch["hi"].tolist())
-            for group, k, text in zip(groups, batch["id"].tolist(), batch["opening"]):
+            groups = zip(*(batch.column(i).to_pylist() for i in range(4)))
+            grams = batch.column(5)
+            starts, values = grams.offsets.to_numpy(), grams.values.to_numpy()
+            for at, (group, k) in enumerate(zip(groups, batch.column(4).to_pylist())):
                 if group != open_group:
                     found += close()
-                    open_group, ids, texts = group, [], []
+                    open_group, ids, held = group, [], []
                 ids.append(k)
-                texts.append(text)
-            yield pd.DataFrame(found, columns=["u", "v"], dtype="int64")
-        yield pd.DataFrame(close(), columns=["u", "v"], dtype="int64")
+                held.append(values[starts[at] : starts[at + 1]])
+            yield out(found)
+        yield out(close())
 
     named = openings.withColumn("id", F.xxhash64("opening"))
-    placed = cut(named.mapInPandas(run, "id long, band int, bucket long"))
+    signed = cut(named.select("id", "opening").mapInArrow(run, "id long, buckets array<long>, grams array<long>"))
+    placed = signed.select("id", F.posexplode("buckets").alias("band", "bucket"))
     shared = placed.groupBy("band", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = placed.join(shared, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id", F.lit("block")), blocks))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("id", "band", "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
     group = ["band", "bucket", "lo", "hi"]
-    members = dealt.join(named, "id").repartition(*group).sortWithinPartitions(*group)
-    linked = members.mapInPandas(verify, "u long, v long")
-    return named.join(components(linked).withColumnRenamed("vertex", "id"), "id").select("opening", F.col("component").cast("string").alias("cluster"))
+    members = dealt.join(signed.select("id", "grams"), "id").repartition(*group).sortWithinPartitions(*group).select(*group, "id", "grams")
+    linked = members.mapInArrow(verify, "u long, v long")
+    return named.join(components(linked).withColumnRenamed("vertex", "id"), "id").select("id", "opening", F.col("component").alias("cluster"))
+
+
+def templates(pairs: DataFrame) -> DataFrame:
+    """``(opening, cluster, refusing, bare)`` of the openings of responses that recur across unrelated prompts.
+
+    A cluster recurs with ``UNRELATED`` responses or more to different prompts. ``bare``: without their
+    titles its responses are mostly the same, and they report on no text. ``refusing``: half of its
+    responses or more refuse in the first person, or speak of being unable and are bare; the others
+    with them.
+    """
+    own = pairs.where("not empty and not copied and opening <> ''").withColumn("id", F.xxhash64("opening"))
+    count = lambda c: F.count(F.when(F.col(c), 1)).alias(c)
+    seen = own.groupBy("id", "reply").agg(
+        F.min("title_hash").alias("lo"), F.max("title_hash").alias("hi"), F.count(F.lit(1)).alias("n"), count("strong"), count("weak"), count("about")
+    )
+    seen = cut(seen)
+    clusters = cut(opening_clusters(own.select("opening").distinct()).select("id", "cluster"))
+    named = seen.join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    sums = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.sum(c).alias(c) for c in ("n", "strong", "weak", "about"))]
+    whole = named.groupBy("cluster", "reply").agg(*sums).groupBy("cluster").agg(*sums, F.count(F.lit(1)).alias("replies"))
+    bare = F.expr("2 * replies <= n and about = 0")
+    refusing = F.expr("2 * strong >= n") | (bare & F.expr("2 * weak >= n"))
+    recurring = whole.where(f"n >= {UNRELATED} and lo <> hi").select("cluster", refusing.alias("refusing"), bare.alias("bare"))
+    ids = seen.select("id").distinct().join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
+    return ids.join(recurring.where("refusing or bare"), "cluster")
 
 
 def defects(df: DataFrame, key: str, tree: str, title: str, text: str) -> DataFrame:
@@ -273,18 +360,10 @@ def defects(df: DataFrame, key: str, tree: str, title: str, text: str) -> DataFr
     rows = df.where(F.col(key).isNotNull()).select(
         F.col(key).cast("long").alias("key"), F.col(tree).cast("long").alias("tree"), F.col(title).alias("title"), F.col(text).alias("text")
     )
-    once = spread(cut(rows.dropDuplicates(["key"])))
+    best_row = F.max(F.struct("text", "title", "tree")).alias("r")
+    once = spread(cut(rows.groupBy("key").agg(best_row).select("key", "r.tree", "r.title", "r.text")))
     pairs = cut(features(once.where("text is not null")))
-
-    prompts = pairs.where("not empty and opening <> ''").groupBy("opening").agg(
-        F.min("title_hash").alias("lo"), F.max("title_hash").alias("hi"), F.count(F.lit(1)).alias("n"), F.max("weak").alias("weak")
-    )
-    prompts = cut(prompts)
-    clusters = opening_clusters(prompts.select("opening"))
-    named = prompts.join(clusters, "opening", "left").withColumn("cluster", F.coalesce("cluster", "opening"))
-    recurring = named.groupBy("cluster").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("weak").alias("weak"))
-    templates = named.join(recurring.where(f"n >= {UNRELATED} and lo <> hi and weak").select("cluster"), "cluster", "left_semi")
-    templates = templates.select("opening", F.lit(True).alias("template"))
+    known = templates(pairs).select("id", "refusing", "bare")
 
     hits = [F.sum(F.col("title_hits")[i] * 2 + F.col("text_hits")[i]).alias(c) for i, c in enumerate(LANGUAGES)]
     best = F.greatest(*LANGUAGES)
@@ -297,12 +376,14 @@ def defects(df: DataFrame, key: str, tree: str, title: str, text: str) -> DataFr
         F.col("foreign") | ((most >= 6) & (most > 2 * own)) | ((most - own >= 12) & (most > own * 1.3)) | ((own == 0) & (F.col("words") >= 14))
     )
     found = truncated(once, "key", "text", "title").withColumn("was_cut", F.lit(True))
-    joined = pairs.join(templates, "opening", "left").join(trees, "tree", "left").join(found, "key", "left")
+    joined = pairs.withColumn("id", F.xxhash64("opening")).join(known, "id", "left").join(trees, "tree", "left").join(found, "key", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
     defect = (
         F.when(F.col("empty"), "empty")
-        .when(F.col("strong") | (F.col("weak") & F.coalesce("template", F.lit(False))), "refusal")
+        .when(yes(F.col("refusing")) | F.col("strong"), "refusal")
         .when(F.col("copied"), "copy")
-        .when(F.coalesce(other, F.lit(False)), "language")
-        .when(F.coalesce("was_cut", F.lit(False)), "truncated")
+        .when(yes(other), "language")
+        .when(yes(F.col("bare")), "refusal")
+        .when(yes(F.col("was_cut")), "truncated")
     )
     return joined.select(F.col("key").alias(key), defect.alias("defect")).where("defect is not null")

@@ -220,6 +220,33 @@ def test_a_strict_prefix_of_a_closed_sentence_was_cut_however_many_copies_are_op
     assert sorted(r.node_key for r in truncation.truncated(df, "node_key", "summary").collect()) == list(range(31))
 
 
+def test_a_long_fragment_finds_its_longer_copy(spark):
+    long = "Seen " + " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}word" for i in range(400)) + "."
+    texts = [" ".join(long.split()[:n]) for n in (60, 140, 300, 399)] + [long, "Seen " + "other " * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "node_key long, summary string")
+    got = {r.key: r.reason for r in truncation.judged(df, "node_key", "summary").collect()}
+    assert got == {0: "prefix", 1: "prefix", 2: "prefix", 3: "prefix", 5: None}
+
+
+def test_prefixes_equal_brute_force_over_any_ranges(spark):
+    rng = random.Random(3)
+    alphabet = ["a", "ab", "b", "ba", "é", "zz"]
+    sentences = [" ".join(rng.choice(alphabet) for _ in range(rng.randint(1, 5))) for _ in range(400)]
+    rows = [(None, None, None, None, s, None, rng.randint(0, 1), 1) for s in sentences[:250]]
+    rows += [(i, False, False, 1, s, None, None, None) for i, s in enumerate([*sentences[150:], ""])]
+    df = spark.createDataFrame(rows, truncation.PARSED.format(kind="long"))
+    closed = [s for *_, s, _, n, _ in rows[:250] if n]
+    want = {i: bool(s) and any(c != s and c.startswith(s) for c in closed) for i, _, _, _, s, *_ in rows[250:]}
+    for partitions in ("1", "7", "40"):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.key: r.goes_on for r in truncation.continued(df).collect()}
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert got == want
+
+
 PAIRS = [
     ("Data", "", "empty"), ("Data", " ​", "empty"), ("Data", "N/A", "empty"), ("Data", "--", "empty"), ("Data", None, None),
     ("Data", "I'm sorry, but I can't help with that request.", "refusal"), ("Data", "Je ne peux pas résumer cette section.", "refusal"),
@@ -245,11 +272,23 @@ def test_defects(spark):
     assert pairs.defects(df.limit(0), "node_key", "pair_id", "title", "summary").count() == 0
 
 
+def test_templates_are_refusals_whatever_their_words_and_length(spark):
+    told = "The section describes the parser of number {} and explains how it handles tables of the year {}."
+    rows = [(i, f"Study of {w}", told.format(w, i)) for i, w in enumerate(["ants", "bees", "cats", "dogs", "emus", "fish"])]
+    bare = "Nothing on {} has been recorded by this office, and none will be."
+    rows += [(10 + i, f"Notes on {w}", bare.format(f"Notes on {w}")) for i, w in enumerate(["oak", "elm", "ash", "fir"])]
+    long = "I'm sorry, I cannot summarise this section. " + "The reasons for it are many and are laid down in the rules of the house. " * 8
+    rows += [(20, "Trees", long.strip()), (21, "Rivers", "Thank you for the question. I am unable to answer it.")]
+    df = spark.createDataFrame([(k, 1, t, s) for k, t, s in rows], "node_key long, pair_id long, title string, summary string")
+    got = {r.node_key: r.defect for r in pairs.defects(df, "node_key", "pair_id", "title", "summary").collect()}
+    assert got == {10: "refusal", 11: "refusal", 12: "refusal", 13: "refusal", 20: "refusal", 21: "refusal"}
+
+
 def test_openings_cluster_by_verified_similarity(spark):
     long = "no summary of this text can be given because the policy of the service does not allow it at all today"
     texts = [long, long + " sir", "quite another opening that has nothing to do with the first one", "i cannot", "i cannot"]
     df = spark.createDataFrame([(t,) for t in set(texts)], "opening string")
-    got = {r.opening: r.cluster for r in pairs.opening_clusters(df).collect()}
+    got = {r.opening: r.cluster for r in pairs.opening_clusters(df.distinct()).collect()}
     assert set(got) == {long, long + " sir"} and len(set(got.values())) == 1
 
 
