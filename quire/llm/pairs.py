@@ -22,11 +22,11 @@ from pyspark.sql import functions as F
 
 from quire.graph import components
 from quire.llm.normal_form import normal_form
-from quire.llm.truncation import is_empty, truncated, visible
+from quire.llm.truncation import is_empty, masked, truncated, visible
 from quire.runtime import cut, spread
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
-BLOCK = 2_000
+BLOCK, PAIRWISE = 2_000, 64
 UNRELATED = 3
 MAX_ASK_WORDS = 9
 CACHED_WORDS = 200_000
@@ -50,6 +50,7 @@ for _place, _words in enumerate(FUNCTION_WORDS.values()):
         LANGUAGES_OF.setdefault(_word, []).append(_place)
 SHARED_WEIGHT = (0, 6, 3, 1, 1, 0, 0, 0, 0, 0)
 LETTER, FOREIGN = regex.compile(r"\p{L}"), regex.compile(r"[\p{L}--\p{Latin}]", regex.V1)
+BEYOND_LATIN = re.compile("[\u0370-\u1cff\u1f00-\u1fff\u2c80-\ua71f\ua840-\uaaff\uabc0-\ufaff\ufb13-\uff20\uff5b-\U0010ffff]")
 
 # Phrases by which a response says that it will not or cannot answer.
 FIRST_PERSON = re.compile(
@@ -87,24 +88,28 @@ def plain(text: str) -> str:
 WORD = re.compile(r"\w+")
 
 
-def words(text: str) -> list[str]:
-    return WORD.findall(plain(text))
+@lru_cache(maxsize=16)
+def words(text: str) -> tuple[str, ...]:
+    return tuple(WORD.findall(plain(text)))
 
 
 BREAK = re.compile(r"(?<=[.!?。])\s+|\n+")
 
 
-def opening(text: str) -> str:
-    """The first sentence of a response, plain."""
-    return plain(BREAK.split(visible(text), maxsplit=1)[0])
-
-
 def without_title(shown: str, name: str) -> str:
     """A plain text with one sign for each mention of its plain title."""
     return re.sub(rf"(?<!\w){re.escape(name)}(?!\w)", "#", shown) if len(name) > 1 and name in shown else shown
 
 
-def language_hits(found: list[str]) -> list[int]:
+def opening(text: str, title: str = "") -> str:
+    """The first sentence of a response with one sign for each mention of its title, name and number."""
+    first = BREAK.split(visible(text), maxsplit=1)[0]
+    shown, name = plain(first), plain(title)
+    bare = without_title(shown, name)
+    return " ".join(masked(first if bare == shown else bare))
+
+
+def language_hits(found: tuple[str, ...]) -> list[int]:
     """Function words of each language among the words of a text; those of one language alone weigh most."""
     hits = [0] * len(LANGUAGES)
     for places in filter(None, map(LANGUAGES_OF.get, found)):
@@ -117,7 +122,7 @@ def language_hits(found: list[str]) -> list[int]:
 def foreign_script(text: str) -> bool:
     """Whether most letters are of a script other than Latin."""
     shown = plain(text)
-    letters = 0 if shown.isascii() else len(LETTER.findall(shown))
+    letters = 0 if shown.isascii() or not BEYOND_LATIN.search(shown) else len(LETTER.findall(shown))
     return letters > 3 and len(FOREIGN.findall(shown)) * 2 > letters
 
 
@@ -131,7 +136,7 @@ def is_copy(title: str, text: str) -> bool:
         left, at, here = [], 0, False
         found = words(sentence)
         while at < len(found):
-            if found[at : at + len(name)] == name:
+            if found[at] == name[0] and found[at : at + len(name)] == name:
                 at, here = at + len(name), True
             else:
                 left.append(found[at])
@@ -231,7 +236,7 @@ def features(df: DataFrame) -> DataFrame:
                 reply = xxhash.xxh64_intdigest(without_title(plain(text), name)) >> 1
                 rows.append(
                     (key, tree, xxhash.xxh64_intdigest(name) >> 1, reply, is_empty(text), is_copy(title, text), *refuses(text), foreign_script(text),
-                     len(found), language_hits(words(title)), language_hits(found), without_title(opening(text), name))
+                     len(found), language_hits(words(title)), language_hits(found), opening(text, title))
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
 
@@ -244,9 +249,33 @@ def features(df: DataFrame) -> DataFrame:
 def links(held: list[np.ndarray]) -> list[tuple[int, int]]:
     """Places of pairs of similarity ``SIMILARITY`` or more that connect all texts connected by such pairs.
 
-    Every text's shingles are compared with all before it through lists of the texts that hold a
-    shingle; of the similar ones, one of each group connected so far is linked.
+    Every text is compared with all before it, pair by pair in a small group, and through lists of
+    the texts that hold a shingle in a large one; of the similar ones, one of each part connected so
+    far is linked.
     """
+    return _links_by_pair(held) if len(held) <= PAIRWISE else _links_by_list(held)
+
+
+def _links_by_pair(held: list[np.ndarray]) -> list[tuple[int, int]]:
+    sets = [frozenset(own.tolist()) for own in held]
+    part = list(range(len(held)))
+    out = []
+    for at, own in enumerate(sets):
+        joined: set[int] = set()
+        for i in range(at):
+            other = sets[i]
+            if part[i] in joined or min(len(own), len(other)) < SIMILARITY * max(len(own), len(other)):
+                continue
+            both = len(own & other)
+            if both >= SIMILARITY * (len(own) + len(other) - both):
+                out.append((at, i))
+                joined.add(part[i])
+        if joined:
+            part[:at] = [at if p in joined else p for p in part[:at]]
+    return out
+
+
+def _links_by_list(held: list[np.ndarray]) -> list[tuple[int, int]]:
     holders: dict[int, list[int]] = {}
     sizes = np.zeros(len(held), dtype=np.int64)
     group = np.arange(len(held))

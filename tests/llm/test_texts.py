@@ -284,6 +284,15 @@ def test_templates_are_refusals_whatever_their_words_and_length(spark):
     assert got == {10: "refusal", 11: "refusal", 12: "refusal", 13: "refusal", 20: "refusal", 21: "refusal"}
 
 
+def test_both_ways_of_linking_connect_the_same():
+    rng = random.Random(2)
+    base = [f"w{i}" for i in range(30)]
+    texts = [" ".join(base[rng.randrange(4) : rng.randrange(20, 31)] + [f"t{rng.randrange(3)}"]) for _ in range(60)]
+    held = [pairs.shingles(t) for t in texts]
+    parts = [classes(range(60), way(held)) for way in (pairs._links_by_pair, pairs._links_by_list)]
+    assert parts[0] == parts[1] == classes(range(60), [(a, b) for a in range(60) for b in range(a) if similar(texts[a], texts[b])])
+
+
 def test_openings_cluster_by_verified_similarity(spark):
     long = "no summary of this text can be given because the policy of the service does not allow it at all today"
     texts = [long, long + " sir", "quite another opening that has nothing to do with the first one", "i cannot", "i cannot"]
