@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from quire.graph import components
 from quire.llm.normal_form import normal_form
-from quire.llm.truncation import is_empty, masked, truncated, visible
+from quire.llm.truncation import CLOSED, is_empty, masked, truncated, visible
 from quire.runtime import cut, spread
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
@@ -216,7 +216,7 @@ def bands(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 FEATURES = (
-    "key long, tree long, title_hash long, reply long, empty boolean, copied boolean, strong boolean, weak boolean, about boolean, "
+    "key long, tree long, title_hash long, reply long, empty boolean, copied boolean, strong boolean, weak boolean, about boolean, closed boolean, "
     "foreign boolean, words int, title_hits array<int>, text_hits array<int>, opening string"
 )
 
@@ -235,13 +235,13 @@ def features(df: DataFrame) -> DataFrame:
                 name, found = plain(title), words(text)
                 reply = xxhash.xxh64_intdigest(without_title(plain(text), name)) >> 1
                 rows.append(
-                    (key, tree, xxhash.xxh64_intdigest(name) >> 1, reply, is_empty(text), is_copy(title, text), *refuses(text), foreign_script(text),
-                     len(found), language_hits(words(title)), language_hits(found), opening(text, title))
+                    (key, tree, xxhash.xxh64_intdigest(name) >> 1, reply, is_empty(text), is_copy(title, text), *refuses(text), CLOSED.search(visible(text)) is not None,
+                     foreign_script(text), len(found), language_hits(words(title)), language_hits(found), opening(text, title))
                 )
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds)], names)
 
     whole, yes, counts = pa.int64(), pa.bool_(), pa.list_(pa.int32())
-    kinds = [whole, whole, whole, whole, yes, yes, yes, yes, yes, yes, pa.int32(), counts, counts, pa.string()]
+    kinds = [whole, whole, whole, whole, yes, yes, yes, yes, yes, yes, yes, pa.int32(), counts, counts, pa.string()]
     names = [part.split()[0] for part in FEATURES.split(", ")]
     return df.select("key", "tree", "title", "text").mapInArrow(run, FEATURES)
 
@@ -356,21 +356,22 @@ def templates(pairs: DataFrame) -> DataFrame:
     """``(opening, cluster, refusing, bare)`` of the openings of responses that recur across unrelated prompts.
 
     A cluster recurs with ``UNRELATED`` responses or more to different prompts. ``bare``: without their
-    titles its responses are mostly the same, and they report on no text. ``refusing``: half of its
+    titles its responses are mostly the same, and all are whole sentences that report on no text. ``refusing``: half of its
     responses or more refuse in the first person, or speak of being unable and are bare; the others
     with them.
     """
     own = pairs.where("not empty and not copied and opening <> ''").withColumn("id", F.xxhash64("opening"))
     count = lambda c: F.count(F.when(F.col(c), 1)).alias(c)
     seen = own.groupBy("id", "reply").agg(
-        F.min("title_hash").alias("lo"), F.max("title_hash").alias("hi"), F.count(F.lit(1)).alias("n"), count("strong"), count("weak"), count("about")
-    )
+        F.min("title_hash").alias("lo"), F.max("title_hash").alias("hi"), F.count(F.lit(1)).alias("n"), count("strong"), count("weak"),
+        F.count(F.when(F.col("about") | ~F.col("closed"), 1)).alias("other"),
+    )
     seen = cut(seen)
     clusters = cut(opening_clusters(own.select("opening").distinct()).select("id", "cluster"))
     named = seen.join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))
-    sums = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.sum(c).alias(c) for c in ("n", "strong", "weak", "about"))]
+    sums = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), *(F.sum(c).alias(c) for c in ("n", "strong", "weak", "other"))]
     whole = named.groupBy("cluster", "reply").agg(*sums).groupBy("cluster").agg(*sums, F.count(F.lit(1)).alias("replies"))
-    bare = F.expr("2 * replies <= n and about = 0")
+    bare = F.expr("2 * replies <= n and other = 0")
     refusing = F.expr("2 * strong >= n") | (bare & F.expr("2 * weak >= n"))
     recurring = whole.where(f"n >= {UNRELATED} and lo <> hi").select("cluster", refusing.alias("refusing"), bare.alias("bare"))
     ids = seen.select("id").distinct().join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id"))

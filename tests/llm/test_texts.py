@@ -277,6 +277,10 @@ def test_templates_are_refusals_whatever_their_words_and_length(spark):
     rows = [(i, f"Study of {w}", told.format(w, i)) for i, w in enumerate(["ants", "bees", "cats", "dogs", "emus", "fish"])]
     bare = "Nothing on {} has been recorded by this office, and none will be."
     rows += [(10 + i, f"Notes on {w}", bare.format(f"Notes on {w}")) for i, w in enumerate(["oak", "elm", "ash", "fir"])]
+    heads = ["Overview of page policy with a layered outline"] * 4 + ["Overview of the access policy, "] * 4
+    rows += [(30 + i, f"Part {w}", t) for i, (w, t) in enumerate(zip("abcdefgh", heads))]
+    policy = "The size of the access policy and the {} retries follow. The study of {} comes next and shows gains."
+    rows += [(40 + i, f"On {w}", policy.format(i, w)) for i, w in enumerate(["iron", "zinc", "lead", "gold"])]
     long = "I'm sorry, I cannot summarise this section. " + "The reasons for it are many and are laid down in the rules of the house. " * 8
     rows += [(20, "Trees", long.strip()), (21, "Rivers", "Thank you for the question. I am unable to answer it.")]
     df = spark.createDataFrame([(k, 1, t, s) for k, t, s in rows], "node_key long, pair_id long, title string, summary string")
