@@ -14,12 +14,14 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.runtime import cut
+
 SECTION, SECTIONS, MIN_SECTION = 32, 3, 4
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
-BUFFERED = 500_000
 
 
 class Sketch:
@@ -110,6 +112,20 @@ class Sketch:
         rows = [struct.pack("<dqqi", s[0], int(s[1]), int(s[2]), len(v)) for s, v in zip(self.shape, self.levels)]
         return head + b"".join(rows) + np.concatenate(self.levels).astype("<f8").tobytes()
 
+    @staticmethod
+    def is_exact(data: bytes) -> bool:
+        """Whether serialised values were never compacted, so that ``values_of`` are all of them."""
+        return int.from_bytes(data[12:16], "little") == 1
+
+    @staticmethod
+    def values_of(data: bytes) -> np.ndarray:
+        return np.frombuffer(data, "<f8", offset=44)
+
+    @staticmethod
+    def exact_bytes(values: np.ndarray) -> bytes:
+        """The serialised sketch of fewer values than a level holds, without making it."""
+        return struct.pack("<iqidqqi", SECTION, len(values), 1, float(SECTION), SECTIONS, 0, len(values)) + values.astype("<f8").tobytes()
+
     @classmethod
     def from_bytes(cls, data: bytes) -> Sketch:
         section, n, count = struct.unpack_from("<iqi", data)
@@ -135,53 +151,114 @@ def usable(value: Column) -> Column:
 def measured(df: DataFrame, source: str, key: str, value: str, at: str) -> DataFrame:
     """``(source, model, page_count, day, value)`` of the rows that count, each key once.
 
-    Rows without a key count each for themselves.
+    Rows without a key count each for themselves; of rows that differ under one key the largest counts.
     """
     rows = df.select(
         F.col(key).alias("_key"), "model", F.col("page_count").cast("int").alias("page_count"),
         F.to_date(at).alias("day"), F.col(value).cast("double").alias("value"),
     ).where(usable(F.col("value")))
-    once = rows.where("_key is not null").dropDuplicates(["_key"]).union(rows.where("_key is null"))
-    return once.select(F.lit(source).alias("source"), "model", "page_count", "day", "value")
+    named = ["model", "page_count", "day", "value"]
+    keyed = rows.where("_key is not null").groupBy("_key").agg(F.max(F.struct(*named)).alias("r")).select(*(f"r.{c}" for c in named))
+    once = keyed.union(rows.where("_key is null").select(*named))
+    return once.select(F.lit(source).alias("source"), *named)
 
 
 KEYS = ["source", "model", "page_count", "day"]
-SCHEMA = "source string, model string, page_count int, day date, n long, sketch binary"
 
 
-def daily_sketches(values: DataFrame) -> DataFrame:
-    """One sketch per ``source, model, page_count, day``; nulls in these are groups like others.
+FULL = 2 * SECTIONS * SECTION
 
-    Every task sketches what it reads, at most ``BUFFERED`` values at a time, so a group that holds a
-    third of all rows leaves each task as a few kilobytes; the partial sketches are then merged.
-    """
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple, Sketch] = {}
-        size = 0
+class Pool:
+    """Values and sketches of one group: plain values while these are few, a sketch from then on."""
+
+    def __init__(self) -> None:
+        self.parts: list[np.ndarray] = []
+        self.n = 0
+        self.sketch: Sketch | None = None
+
+    def add(self, values: np.ndarray) -> None:
+        if self.sketch is not None:
+            self.sketch.add(values)
+            return
+        self.parts.append(values)
+        self.n += len(values)
+        if self.n >= FULL:
+            self.sketch = Sketch()
+            self.sketch.add(np.concatenate(self.parts))
+            self.parts = []
+
+    def merge(self, data: bytes) -> None:
+        if Sketch.is_exact(data):
+            self.add(Sketch.values_of(data))
+        elif self.sketch is None:
+            self.sketch, parts = Sketch.from_bytes(data), self.parts
+            self.parts = []
+            for values in parts:
+                self.sketch.add(values)
+        else:
+            self.sketch.merge(Sketch.from_bytes(data))
 
-        def out() -> pd.DataFrame:
-            rows = [(*k, s.n, s.to_bytes()) for k, s in held.items()]
-            held.clear()
-            return pd.DataFrame(rows, columns=[*KEYS, "n", "sketch"])
+    def close(self) -> tuple[int, bytes]:
+        if self.sketch is not None:
+            return self.sketch.n, self.sketch.to_bytes()
+        return self.n, Sketch.exact_bytes(np.concatenate(self.parts))
 
+
+KINDS = {"source": "string", "model": "string", "page_count": "int", "day": "date", "level": "string"}
+
+
+def _sketched(ordered: DataFrame, by: list[str], values: str) -> DataFrame:
+    """``(by, n, sketch)``, one row per run of equal ``by`` in each task's sorted rows of numbers or sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        pool = Pool()
         for batch in batches:
-            batch = batch.astype({"page_count": object}).where(batch.notna(), None)
-            groups = batch.groupby(KEYS, dropna=False, sort=False).indices
-            numbers = batch["value"].to_numpy(dtype=float)
-            for key, rows in groups.items():
-                key = tuple(None if x is None or x != x else x for x in key)
-                if key not in held:
-                    held[key] = Sketch()
-                held[key].add(numbers[rows])
-                size += len(rows)
-            if size >= BUFFERED:
-                yield out()
-                size = 0
-        if held:
-            yield out()
-
-    return merged(values.mapInPandas(partial, SCHEMA), KEYS)
+            size = batch.num_rows
+            if not size:
+                continue
+            columns = [batch.column(i) for i in range(len(by))]
+            fresh = np.zeros(size, dtype=bool)
+            fresh[0] = True
+            for column in columns:
+                codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+                fresh[1:] |= codes[1:] != codes[:-1]
+            starts = np.flatnonzero(fresh)
+            ends = [*starts[1:].tolist(), size]
+            keys = list(zip(*(column.take(pa.array(starts)).to_pylist() for column in columns)))
+            data = batch.column(len(by)).to_numpy(zero_copy_only=False)
+            done: list[tuple] = []
+            for now, a, b in zip(keys, starts.tolist(), ends):
+                if now != key:
+                    if key is not None:
+                        done.append((*key, *pool.close()))
+                    key, pool = now, Pool()
+                if values == "value":
+                    pool.add(data[a:b])
+                else:
+                    for one in data[a:b]:
+                        pool.merge(one)
+            yield out(done)
+        if key is not None:
+            yield out([(*key, *pool.close())])
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows)) if rows else [()] * (len(by) + 2)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*by, "n", "sketch"])
+
+    types = [{"string": pa.string(), "int": pa.int32(), "date": pa.date32()}[KINDS[c]] for c in by] + [pa.int64(), pa.binary()]
+    schema = ", ".join(f"{c} {KINDS[c]}" for c in by) + ", n long, sketch binary"
+    return ordered.select(*by, values).mapInArrow(run, schema)
+
+
+def daily_sketches(values: DataFrame) -> DataFrame:
+    """One sketch per ``source, model, page_count, day``; nulls in these are groups like others.
+
+    Every task sorts and sketches the rows it holds, so a group that holds a third of all rows leaves
+    each task as a few kilobytes; the partial sketches are then merged.
+    """
+    return merged(_sketched(values.sortWithinPartitions(*KEYS), KEYS, "value"), KEYS)
 
 
 def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
@@ -190,30 +267,7 @@ def merged(sketches: DataFrame, by: list[str]) -> DataFrame:
     Rows of one group lie side by side after the sort and are merged one after the other; a task
     holds one sketch at a time, however many a group has.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key: tuple | None = None
-        sketch: Sketch | None = None
-        done: list[tuple] = []
-        for batch in batches:
-            columns = [batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in by]
-            for *now, data in zip(*columns, batch["sketch"].tolist()):
-                if sketch is not None and tuple(now) == key:
-                    sketch.merge(Sketch.from_bytes(data))
-                    continue
-                if sketch is not None:
-                    done.append((*key, sketch.n, sketch.to_bytes()))
-                key, sketch = tuple(now), Sketch.from_bytes(data)
-            if done:
-                yield pd.DataFrame(done, columns=[*by, "n", "sketch"])
-                done = []
-        if sketch is not None:
-            yield pd.DataFrame([(*key, sketch.n, sketch.to_bytes())], columns=[*by, "n", "sketch"])
-
-    kinds = {"source": "string", "model": "string", "page_count": "int", "day": "date", "level": "string"}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in by) + ", n long, sketch binary"
-    ordered = sketches.select(*by, "sketch").repartition(*by).sortWithinPartitions(*by)
-    return ordered.mapInPandas(run, schema)
+    return _sketched(sketches.select(*by, "sketch").repartition(*by).sortWithinPartitions(*by), by, "sketch")
 
 
 def percentiles(daily: DataFrame, points: tuple[float, ...] = QUANTILES) -> DataFrame:
@@ -221,12 +275,13 @@ def percentiles(daily: DataFrame, points: tuple[float, ...] = QUANTILES) -> Data
 
     For each source and for both together (``all``), per model (``level`` model) and per model and
     page count (``level`` model_pages). ``rank_error`` is three standard deviations of the error of
-    the value's rank, as a share of ``n``; 0 where the sketch is exact.
+    the value's rank, as a share of ``n``; 0 where the sketch is exact. Raw values are sketched once:
+    the daily sketches and those per page count are written before they are used twice.
     """
-    both = daily.union(daily.withColumn("source", F.lit("all")))
-    per_pages = both.select("source", F.lit("model_pages").alias("level"), "model", "page_count", "sketch")
+    sources = F.explode(F.array(F.col("source"), F.lit("all"))).alias("source")
+    per_pages = cut(daily).select(sources, F.lit("model_pages").alias("level"), "model", "page_count", "sketch")
     by = ["source", "level", "model", "page_count"]
-    pages = merged(per_pages, by)
+    pages = cut(merged(per_pages, by))
     per_model = pages.select("source", F.lit("model").alias("level"), "model", F.lit(None).cast("int").alias("page_count"), "sketch")
     every = pages.select(*by, "n", "sketch").union(merged(per_model, by).select(*by, "n", "sketch"))
 

@@ -28,16 +28,21 @@ def paper_number(arxiv_id: Column) -> Column:
 
 
 def groups(training: DataFrame, authors: DataFrame) -> DataFrame:
-    """``(pair_id, paper, group_key)``, one row per distinct ``(pair_id, arxiv_id)`` of ``training``.
+    """``(pair_id, paper, group_key)``, one row per ``pair_id``, and per paper where that is null.
 
     ``group_key`` is the smallest paper number of the papers linked, directly or through others, by
-    an ``author_id``; both it and ``paper`` are null where ``arxiv_id`` names no paper. Null authors
-    and unusable papers link nothing. Further columns of the inputs are not read; empty inputs give
-    no rows, or groups of one paper each.
+    an ``author_id`` or by a ``pair_id`` that was delivered with several papers, of which ``paper`` is
+    the largest; both are null where no ``arxiv_id`` of the pair names a paper. Null authors and
+    unusable papers link nothing. Further columns of the inputs are not read; empty inputs give no
+    rows, or groups of one paper each.
     """
-    rows = training.select("pair_id", paper_number(F.col("arxiv_id")).alias("paper")).distinct()
+    named = training.select("pair_id", paper_number(F.col("arxiv_id")).alias("paper")).distinct()
     written = authors.select(F.col("author_id").alias("author"), paper_number(F.col("arxiv_id")).alias("paper"))
-    labels = cut(components(star_edges(written, "author", "paper")))
+    alone = F.when(F.col("pair_id").isNull(), F.col("paper"))
+    rows = named.groupBy("pair_id", alone.alias("alone")).agg(F.max("paper").alias("paper"), F.min("paper").alias("least"))
+    several = rows.where("pair_id is not null and paper <> least").select("pair_id")
+    twice = star_edges(named.join(several, "pair_id", "left_semi"), "pair_id", "paper")
+    labels = cut(components(star_edges(written, "author", "paper").union(twice)))
     smallest = labels.groupBy("component").agg(F.min("vertex").alias("group_key"))
     keys = labels.join(smallest, "component").select(F.col("vertex").alias("paper"), "group_key")
     return rows.join(keys, "paper", "left").select("pair_id", "paper", F.coalesce("group_key", "paper").alias("group_key"))
@@ -55,36 +60,47 @@ def differencing(classes: Sequence[tuple[int, int]], bins: int) -> tuple[np.ndar
 
     Returns the bins' loads and, for each weight, how many copies every bin gets and the bins of
     the remaining copies. ``bins`` equal weights make a vector without any difference, so only the
-    remainder of each class enters the heap: two vectors with the largest differences are combined,
-    largest loads onto smallest, until one is left.
+    remainder of each class enters the heap, as one vector: its equal weights are combined with each
+    other first, each in a bin of its own. The two vectors with the largest
+    differences are combined, largest loads onto smallest, until one is left. A distinct weight costs
+    one vector of ``bins`` numbers and two orders of as many small integers.
     """
     loads = np.zeros(bins)
     plan: dict[int, tuple[int, list[int]]] = {}
-    heap: list[tuple[float, int, np.ndarray, list[list[int]]]] = []
-    number = 0
+    heap: list[tuple[float, int, np.ndarray]] = []
+    leaves: list[tuple[int, int]] = []
     for weight, copies in sorted(classes, reverse=True):
         each, rest = divmod(copies, bins)
         plan[weight] = (each, [])
         loads += each * weight
-        for _ in range(rest):
+        if rest:
             vector = np.zeros(bins)
-            vector[0] = weight
-            heapq.heappush(heap, (-float(weight), number, vector, [[weight], *([] for _ in range(bins - 1))]))
-            number += 1
+            vector[:rest] = weight
+            heap.append((-float(weight), len(leaves), vector))
+            leaves.append((weight, rest))
+    heapq.heapify(heap)
+    merges: list[tuple[int, int, np.ndarray, np.ndarray]] = []
     while len(heap) > 1:
-        _, _, a, in_a = heapq.heappop(heap)
-        _, _, b, in_b = heapq.heappop(heap)
+        _, left, a = heapq.heappop(heap)
+        _, right, b = heapq.heappop(heap)
         down, up = np.argsort(-a, kind="stable"), np.argsort(b, kind="stable")
         merged = a[down] + b[up]
-        held = [in_a[i] + in_b[j] for i, j in zip(down, up)]
-        heapq.heappush(heap, (-float(merged.max() - merged.min()), number, merged, held))
-        number += 1
+        heapq.heappush(heap, (-float(merged.max() - merged.min()), len(leaves) + len(merges), merged))
+        merges.append((left, right, down.astype(np.int32), up.astype(np.int32)))
     if heap:
-        _, _, vector, held = heap[0]
-        loads += vector
-        for place, weights in enumerate(held):
-            for weight in weights:
-                plan[weight][1].append(place)
+        loads += heap[0][2]
+        waiting = [(heap[0][1], np.arange(bins))]
+        while waiting:
+            node, places = waiting.pop()
+            if node < len(leaves):
+                weight, rest = leaves[node]
+                plan[weight][1].extend(places[:rest].tolist())
+                continue
+            left, right, down, up = merges[node - len(leaves)]
+            for child, order in ((left, down), (right, up)):
+                own = np.empty(bins, dtype=np.int64)
+                own[order] = places
+                waiting.append((child, own))
     return loads, plan
 
 
@@ -106,7 +122,7 @@ def assign(grouped: DataFrame, splits: Sequence[tuple[str, float]] = SPLITS, bin
 
     A row that names no paper is a group of its own (rows without a ``pair_id`` form one more).
     The driver sees one row per distinct group size, of which there are at most the square root of
-    twice the rows; groups are numbered within their size by counted buckets, so no size, however
+    twice the rows, and holds about 3 KB for each (45,000 sizes and 140 MB at 10^9 rows); groups are numbered within their size by counted buckets, so no size, however
     common, is ordered in one task.
     """
     unit = F.coalesce(F.concat(F.lit("p:"), "group_key"), F.concat(F.lit("r:"), F.col("pair_id").cast("string")), F.lit("r:"))

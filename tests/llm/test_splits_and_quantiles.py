@@ -57,6 +57,49 @@ def test_differencing_places_everything_once():
     assert splits.differencing([], 5)[0].sum() == 0
 
 
+def test_classes_of_equal_weights_balance_like_single_weights():
+    import heapq
+
+    def singly(weights, bins):
+        heap = [(-float(w), n, np.array([w] + [0] * (bins - 1), dtype=float)) for n, w in enumerate(sorted(weights, reverse=True))]
+        heapq.heapify(heap)
+        while len(heap) > 1:
+            (_, n, a), (_, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            merged = np.sort(a)[::-1] + np.sort(b)
+            heapq.heappush(heap, (-float(merged.max() - merged.min()), n, merged))
+        return np.sort(heap[0][2])
+
+    rng = random.Random(4)
+    for bins in (3, 7):
+        classes = [(w, rng.randint(1, bins - 1)) for w in rng.sample(range(1, 500), 9)]
+        loads, plan = splits.differencing(classes, bins)
+        single = singly([w for w, n in classes for _ in range(n)], bins)
+        assert loads.max() - loads.min() <= 3 * (single[-1] - single[0]) + 1
+        assert loads.sum() == single.sum()
+        placed = np.zeros(bins)
+        for w, (each, rest) in plan.items():
+            placed += each * w
+            for place in rest:
+                placed[place] += w
+        assert np.array_equal(placed, loads)
+
+
+def test_a_pair_with_two_papers_links_them(spark):
+    rows = [(1, "2401.00001", "", ""), (1, "2401.00005", "", ""), (2, "2401.00005", "", ""), (3, "2401.00001v2", "", ""), (3, "n/a", "", ""), (4, "2401.00009", "", "")]
+    grouped = splits.groups(spark.createDataFrame(rows, TRAINING), spark.createDataFrame([], AUTHORS))
+    assert {(r.pair_id, r.group_key) for r in splits.shared_groups(grouped).collect()} == {(n, "2401.00001") for n in (1, 2, 3)}
+    assert len(splits.assign(grouped).collect()) == 4
+
+
+def test_many_sizes_stay_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    loads, _ = splits.differencing([(w, 199) for w in range(1, 1001)], 200)
+    assert tracemalloc.get_traced_memory()[1] < 20e6 and loads.max() - loads.min() <= 1000
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize("kind", ["ties", "lognormal", "sorted", "falling"])
 def test_sketch_ranks_are_within_the_bound(kind):
     rng = np.random.default_rng(1)
