@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,26 +14,32 @@ from pyspark.sql import functions as F
 
 from quire.runtime import cut, spread
 
-# Letters of other scripts that look like a Latin letter.
+# Letters of other scripts that look like a Latin letter (Cyrillic, Greek, Armenian, Cherokee, Lisu).
 LOOKALIKES = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν",
-    "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іⅰ", "j": "јϳ", "n": "ո", "o": "оοօ", "p": "р",
-    "q": "ԛ", "s": "ѕ", "u": "ս", "v": "ѵ", "w": "ԝ", "x": "х", "y": "уү", "-": "‐‑",
+    "A": "АΑᎪꓮ", "B": "ВΒᏴꓐ", "C": "СϹᏟꓚ", "D": "Ꭰꓓ", "E": "ЕΕᎬꓰ", "F": "ꓝ", "G": "Ꮐꓖ", "H": "НΗᎻꓧ", "I": "ІΙӀꓲ", "J": "ЈͿᎫꓙ",
+    "K": "КΚᏦꓗ", "L": "ԼᏞꓡ", "M": "МΜᎷꓟ", "N": "Νꓠ", "O": "ОΟՕꓳ", "P": "РΡᏢꓑ", "Q": "Ԛ", "R": "Ꭱꓣ", "S": "ЅՏᏚꓢ", "T": "ТΤᎢꓔ",
+    "U": "Սꓴ", "V": "ᏙꓦѴ", "W": "ԜᎳꓪ", "X": "ХΧꓫ", "Y": "ҮΥꓬ", "Z": "ΖᏃꓜ",
+    "a": "аαɑ", "c": "сϲ", "d": "ԁᏧ", "e": "е", "g": "ɡց", "h": "һհᏂ", "i": "іⅰıι", "j": "јϳյ", "l": "ӏ", "n": "ոռ", "o": "оοօσ",
+    "p": "рρ", "q": "ԛզ", "r": "г", "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝա", "x": "х", "y": "уүγ", "-": "‐‑",
+    "": "\u115f\u1160\u3164\uffa0", " ": "\u2800",
 }
 
 
+# The code points with a category or a decomposition of interest: neither Han nor Hangul nor private ones.
+READ = (range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xD7A4, 0xE000), range(0xF900, 0x20000), range(0xE0000, 0xE0200))
+
+
 @lru_cache(maxsize=1)
 def prototypes() -> dict[int, str]:
     """Code point to prototype.
 
     Built by rule from the character database: format characters and variation selectors vanish,
     every space becomes the plain space, width forms and ligatures of letters become their parts,
-    and ``LOOKALIKES`` become Latin. Raised signs, circled, mathematical and fraction forms, which a
+    and ``LOOKALIKES`` become Latin: the scripts and letters named there, no more. Raised signs, circled, mathematical and fraction forms, which a
     reader can tell apart, stay as they are.
     """
     table: dict[int, str] = {}
-    for code in range(0x80, sys.maxunicode + 1):
+    for code in chain(*READ):
         char = chr(code)
         kind = unicodedata.category(char)
         if kind == "Cf" or code == 0x34F or 0xFE00 <= code <= 0xFE0F or 0x180B <= code <= 0x180F or 0xE0100 <= code <= 0xE01EF:
@@ -46,14 +52,20 @@ def prototypes() -> dict[int, str]:
                 table[code] = plain
     for prototype, alike in LOOKALIKES.items():
         table.update((ord(c), prototype) for c in alike)
-    return table
+    return {code: "".join(table.get(ord(c), c) for c in plain) for code, plain in table.items()}
 
 
 def skeleton(text: str) -> str:
     """Decompose, replace by prototypes, decompose again; equal for texts that look the same."""
     if text.isascii():
         return text
-    return unicodedata.normalize("NFD", unicodedata.normalize("NFD", text).translate(prototypes()))
+    table, text = prototypes(), unicodedata.normalize("NFD", text)
+    found = [c for c in set(text) if not c.isascii() and ord(c) in table]
+    if not found:
+        return text
+    for char in found:
+        text = text.replace(char, table[ord(char)])
+    return unicodedata.normalize("NFD", text)
 
 
 def normal_form(text: str) -> str:
@@ -111,6 +123,19 @@ def lookalike_groups(marks: DataFrame) -> DataFrame:
     return marks.join(mixed.select("scope", "look"), ["scope", "look"], "left_semi")
 
 
+def lookalike_classes(marks: DataFrame) -> DataFrame:
+    """``(id, class, links)`` of the rows of ``lookalike_groups``, one row per key and text.
+
+    ``class`` is the smallest key of the group; ``links`` counts the group's rows whose text differs
+    from this one's. Groups of any size are counted, never expanded into pairs.
+    """
+    mixed = cut(lookalike_groups(cut(marks)))
+    same = mixed.groupBy("scope", "look", "own").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("same"))
+    whole = same.groupBy("scope", "look").agg(F.min("first").alias("class"), F.sum("same").alias("n"))
+    counted = mixed.join(same.drop("first"), ["scope", "look", "own"]).join(whole, ["scope", "look"])
+    return counted.select(F.col("key").alias("id"), "class", (F.col("n") - F.col("same")).alias("links"))
+
+
 def lookalike_pairs(marks: DataFrame) -> DataFrame:
     """``(id_a, id_b)``, smaller key first: rows whose texts look the same and differ in their characters.
 
