@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import leaks, normal_form, pairs, pieces, quantiles, splits, tokens, toxicity, truncation
@@ -65,17 +65,27 @@ def p4_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each percentile per source and model lies within its stated rank error, counted exactly."""
+    """Whether each percentile, at every level, lies within its stated rank error, counted exactly."""
     values = _values(spark, sf_dir)
-    got = quantiles.percentiles(quantiles.daily_sketches(values)).where("level = 'model' and source <> 'all'")
-    got = cut(got.select("source", F.coalesce("model", F.lit("")).alias("model"), "n", "p", F.col("value").alias("at"), "rank_error"))
-    named = values.select("source", F.coalesce("model", F.lit("")).alias("model"), "value")
-    counted = named.join(got, ["source", "model"]).groupBy("source", "model", "n", "p", "rank_error").agg(
-        F.count(F.when(F.col("value") < F.col("at"), 1)).alias("below"), F.count(F.when(F.col("value") <= F.col("at"), 1)).alias("upto")
-    )
-    slack = F.col("rank_error") + 1 / F.col("n")
-    within = (F.col("below") / F.col("n") - slack <= F.col("p")) & (F.col("p") <= F.col("upto") / F.col("n") + slack)
-    return counted.select("source", "model", "n", "p", within.alias("within"))
+    points = quantiles.QUANTILES
+    keys = ["source", "level", "model", "page_count"]
+    plain = [F.coalesce("model", F.lit("")).alias("model"), F.coalesce("page_count", F.lit(-1)).alias("page_count")]
+    of = lambda i, c: F.max(F.when(F.col("p") == points[i], F.col(c)))
+    got = quantiles.percentiles(quantiles.daily_sketches(values)).select("source", "level", *plain, "n", "p", "value", "rank_error")
+    wide = [x for i in range(len(points)) for x in (of(i, "value").alias(f"at{i}"), of(i, "rank_error").alias(f"error{i}"))]
+    got = cut(got.groupBy(*keys, "n").agg(*wide))
+    levels = F.array(F.struct(F.lit("model").alias("level"), F.lit(-1).alias("page_count")), F.struct(F.lit("model_pages").alias("level"), F.coalesce("page_count", F.lit(-1)).alias("page_count")))
+    each = values.select(F.explode(F.array("source", F.lit("all"))).alias("source"), F.coalesce("model", F.lit("")).alias("model"), F.explode(levels).alias("l"), "value")
+    joined = each.select("source", "l.level", "model", "l.page_count", "value").join(got, keys)
+    held = [x for i in range(len(points)) for x in (F.count(F.when(F.col("value") < F.col(f"at{i}"), 1)).alias(f"below{i}"), F.count(F.when(F.col("value") <= F.col(f"at{i}"), 1)).alias(f"upto{i}"))]
+    counted = joined.groupBy(*keys, "n", *(f"error{i}" for i in range(len(points)))).agg(*held)
+
+    def within(i: int) -> Column:
+        slack = F.col(f"error{i}") + 1 / F.col("n")
+        return (F.col(f"below{i}") / F.col("n") - slack <= points[i]) & (points[i] <= F.col(f"upto{i}") / F.col("n") + slack)
+
+    rows = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), within(i).alias("within")) for i, p in enumerate(points)))).alias("r")
+    return counted.select(*keys, "n", rows).select(*keys, "n", "r.p", "r.within")
 
 
 def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,23 +102,29 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).dropDuplicates(["pair_id", "piece_no"])
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of rows whose title or text looks the same and differs in its characters."""
+def _looks(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     titles = normal_form.digests(table(spark, sf_dir, "training_nodes"), "node_key", "title", within="pair_id")
     texts = normal_form.digests(table(spark, sf_dir, "training"), "pair_id", "document_text")
-    parts = [
-        normal_form.lookalike_pairs(marks).select(F.lit(name).alias("field_name"), "id_a", "id_b")
-        for name, marks in (("title", titles), ("document_text", texts))
-    ]
+    return [("title", titles), ("document_text", texts)]
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows whose title or text looks the same and differs in its characters."""
+    parts = [normal_form.lookalike_pairs(marks).select(F.lit(name).alias("field_name"), "id_a", "id_b") for name, marks in _looks(spark, sf_dir)]
+    return parts[0].union(parts[1])
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of those pairs, once per text, with their class and number of links."""
+    parts = [normal_form.lookalike_classes(marks).select(F.lit(name).alias("field_name"), "*") for name, marks in _looks(spark, sf_dir)]
     return parts[0].union(parts[1])
 
 
 def p6_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The consistent form of every title and text, each key once."""
-    titles = table(spark, sf_dir, "training_nodes").dropDuplicates(["node_key"])
-    texts = table(spark, sf_dir, "training").dropDuplicates(["pair_id"])
+    titles, texts = table(spark, sf_dir, "training_nodes"), table(spark, sf_dir, "training")
     parts = [
-        normal_form.forms(rows, key, text).select(F.lit(text).alias("field_name"), F.col("key").alias("id"), "form")
+        normal_form.forms(rows.groupBy(key).agg(F.max(text).alias(text)), key, text).select(F.lit(text).alias("field_name"), F.col("key").alias("id"), "form")
         for rows, key, text in ((titles, "node_key", "title"), (texts, "pair_id", "document_text"))
     ]
     return parts[0].union(parts[1])
@@ -134,26 +150,33 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("share").alias("share"))
 
 
+def _toxicity(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, float]:
+    documents = table(spark, sf_dir, "documents")
+    model = toxicity.fit(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model), model.threshold
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score of every document for abusive, hateful or sexual language."""
-    documents = table(spark, sf_dir, "documents")
-    return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+    return _toxicity(spark, sf_dir)[0]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold abusive, hateful or sexual language."""
-    return p9_scores(spark, sf_dir).where(F.col("score") >= toxicity.THRESHOLD).select("doc_id")
+    scored, threshold = _toxicity(spark, sf_dir)
+    return scored.where(F.col("score") >= threshold).select("doc_id")
 
 
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of such documents for each source."""
-    return toxicity.rates(table(spark, sf_dir, "documents"), p9_scores(spark, sf_dir))
+    scored, threshold = _toxicity(spark, sf_dir)
+    return toxicity.rates(table(spark, sf_dir, "documents"), scored, threshold=threshold)
 
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p2_found, p2_shares, p3_found, p4_quantiles, p4_daily, p4_bounds, p5_found, p5_pieces, p6_found, p6_forms,
+        p1_found, p1_splits, p2_found, p2_shares, p3_found, p4_quantiles, p4_daily, p4_bounds, p5_found, p5_pieces, p6_found, p6_groups, p6_forms,
         p7_ids, p8_found, p8_items, p9_found, p9_scores, p9_rates,
     )
 }
@@ -163,11 +186,14 @@ _PAPER = r"regexp_extract(arxiv_id, '(^|[^0-9])([0-9]{4}\.[0-9]{4,5})($|[^0-9])'
 _USABLE = "t IS NOT NULL AND NOT isnan(t) AND t >= 0 AND t < 'infinity'::DOUBLE"
 
 
+# For the SQL alone, written down from the tables and not from the operator's table: letters of other scripts there, and what they look like.
+_SEEN, _SHOWN = "АВЕКМНОРСТХаеорсухѕіΑΒΕΖΗΙΚΜΝΟΡΤΧο", "ABEKMHOPCTXaeopcyxsiABEZHIKMNOPTXo"
+
+
 def _skeleton_sql(column: str) -> str:
     """The skeleton in SQL, for the characters that the tables hold: composed form instead of decomposed."""
     wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
-    alike = [(c, prototype) for prototype, chars in normal_form.LOOKALIKES.items() for c in chars]
-    source, target = wide + "".join(c for c, _ in alike), "".join(chr(ord(c) - 0xFEE0) for c in wide) + "".join(t for _, t in alike)
+    source, target = wide + _SEEN, "".join(chr(ord(c) - 0xFEE0) for c in wide) + _SHOWN
     bare = f"regexp_replace({column}, '[\u00ad\u200b-\u200f\u2060-\u2064\ufeff]', '', 'g')"
     spaced = f"regexp_replace({bare}, '[\u00a0\u2000-\u200a\u202f\u205f\u3000]', ' ', 'g')"
     for ligature, letters in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl")):
@@ -176,6 +202,12 @@ def _skeleton_sql(column: str) -> str:
     return f"nfc_normalize({mapped})"
 
 
+def _class_sql(name: str, relation: str, key: str, column: str, scope: str) -> str:
+    return f"""SELECT '{name}' AS field_name, k AS id, min(k) OVER g AS class, count(*) OVER g - count(*) OVER (PARTITION BY scope, look, t) AS links
+        FROM (SELECT DISTINCT {key} AS k, {scope} AS scope, {column} AS t, {_skeleton_sql(column)} AS look FROM {relation} WHERE {key} IS NOT NULL)
+        WHERE look <> '' AND scope IS NOT NULL WINDOW g AS (PARTITION BY scope, look) QUALIFY min(t) OVER g <> max(t) OVER g"""
+
+
 def _lookalike_sql(name: str, relation: str, key: str, column: str, scope: str) -> str:
     return f"""SELECT '{name}' AS field_name, a.k AS id_a, b.k AS id_b
         FROM (SELECT DISTINCT {key} AS k, {scope} AS scope, {column} AS t, {_skeleton_sql(column)} AS look FROM {relation}) a
@@ -185,14 +217,21 @@ def _lookalike_sql(name: str, relation: str, key: str, column: str, scope: str)
 
 ORACLE: dict[str, str] = {
     "p4_bounds": f"""
-        WITH v AS (SELECT DISTINCT 'training' AS source, pair_id AS k, coalesce(model, '') AS model, generation_time_seconds AS t FROM training
-                   UNION ALL SELECT DISTINCT 'batch_runs', run_id, coalesce(model, ''), generation_time_seconds FROM batch_runs)
-        SELECT source, model, count(*) AS n, CAST(p AS DOUBLE) AS p, true AS within
-        FROM v, (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS p) WHERE {_USABLE} GROUP BY source, model, p
+        WITH v AS (SELECT DISTINCT 'training' AS source, pair_id AS k, coalesce(model, '') AS model, page_count, generation_time_seconds AS t FROM training
+                   UNION ALL SELECT DISTINCT 'batch_runs', run_id, coalesce(model, ''), page_count, generation_time_seconds FROM batch_runs)
+        , r AS (SELECT s.source, l.level, model, CASE WHEN l.level = 'model' THEN -1 ELSE coalesce(page_count, -1) END AS page_count, count(*) AS n
+                FROM v, (SELECT unnest(['model', 'model_pages']) AS level) l, (SELECT unnest(['training', 'batch_runs', 'all']) AS source) s
+                WHERE s.source IN (v.source, 'all') AND {_USABLE} GROUP BY ALL)
+        SELECT source, level, model, page_count, n, CAST(p AS DOUBLE) AS p, true AS within FROM r, (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS p)
     """,
     "p6_found": _lookalike_sql("title", "training_nodes", "node_key", "title", "pair_id")
     + " UNION ALL "
     + _lookalike_sql("document_text", "training", "pair_id", "document_text", "0"),
+    "p6_groups": _class_sql("title", "training_nodes", "node_key", "title", "pair_id")
+    + " UNION ALL "
+    + _class_sql("document_text", "training", "pair_id", "document_text", "0"),
+    "p6_forms": f"""SELECT 'title' AS field_name, node_key AS id, {_skeleton_sql("max(title)")} AS form FROM training_nodes GROUP BY node_key
+        UNION ALL SELECT 'document_text', pair_id, {_skeleton_sql("max(document_text)")} FROM training GROUP BY pair_id""",
     "p1_found": f"""
         WITH RECURSIVE rows AS (SELECT DISTINCT pair_id, nullif({_PAPER}, '') AS paper FROM training),
         written AS (SELECT DISTINCT author_id, nullif({_PAPER}, '') AS paper FROM paper_authors WHERE author_id IS NOT NULL),

@@ -17,24 +17,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from quire.llm.normal_form import normal_form
-from quire.runtime import spread
+from quire.runtime import cut, spread
 
 BITS, SIZES = 18, (3, 4, 5)
 MAX_TOXIC, MAX_HARMLESS, MAX_SAMPLE_CHARS = 1_000, 2_500, 20_000
 FOLDS, ROUNDS, HARMLESS_SHARE, BORDER, SMOOTH, COMMON = 5, 3, 0.9, 0.7, 0.1, 3
 STEPS, PENALTY, POSITIVE_SHARE = 150, 1e-5, 0.2
-THRESHOLD = 0.4
+THRESHOLD, HARMLESS_BELOW = 0.4, 0.98
 BLOCK_CHARS, BLOCK_TEXTS = 2_000_000, 5_000
+CACHED_CHARS, BLOCK_ROWS = 20_000_000, 500
 
 # Digits and signs that stand for a letter inside a word.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "€": "e"}
 SENTENCE = re.compile(r"(?<=[.!?。！？])[\"'»”’)]*\s+|\n+")
 SPACED = re.compile(r"(?<![^\W_])[^\W\d_](?:([ .\-_*])[^\W\d_])(?:\1[^\W\d_])+(?![^\W_])")
+# A lone letter, as every spaced word has; a digit or a sign that may stand for a letter; a sign three times over.
+TRIPLE = re.compile(r"(.)\1\1")
+LONE, STAND_IN = re.compile(r"(?<![^\W_])[^\W\d_][ .\-_*][^\W\d_][ .\-_*]"), re.compile(r"[\d@$€]")
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 NAME = re.compile(r"\b\w*[^\W\d_][A-Z]\w*\b|\b\w+-(?:\d+k?|XL|Net)\b")
-MIXED = re.compile(r"[^\W_]*[0-9@$€][\w@$€]*")
+MIXED = re.compile(r"(?<![^\W_])[^\W_]*[0-9@$€][\w@$€]*")
 NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
 
 
@@ -48,22 +53,38 @@ def _letters(m: re.Match[str]) -> str:
 
 
 def plain(sentence: str) -> str:
-    """A sentence without disguise: one form of look-alikes, case, stand-ins, spaced and repeated letters, masks."""
+    """A sentence without disguise: one form of look-alikes, case, stand-ins, spaced and repeated letters, masks.
+
+    Each step is skipped where a cheap test shows that it would change nothing.
+    """
     s = normal_form(sentence)
-    if sum(map(str.isupper, s)) * 10 > sum(map(str.isalpha, s)) * 6:
-        s = s.lower()
-    s = SPACED.sub(lambda m: m[0].replace(m[1], ""), s)
-    s = NAME.sub("N", s).lower()
-    s = re.sub(r"\*{2,}", "*", s)
-    s = NUMBER.sub("0", MIXED.sub(_letters, s))
-    return " ".join(REPEATED.sub(r"\1", s).split())
+    lower = s.lower()
+    if s != lower and sum(map(str.isupper, s)) * 10 > sum(map(str.isalpha, s)) * 6:
+        s = lower
+    if LONE.search(s):
+        s = SPACED.sub(lambda m: m[0].replace(m[1], ""), s)
+    if s != lower or "-" in s:
+        s = NAME.sub("N", s).lower()
+    if "**" in s:
+        s = re.sub(r"\*{2,}", "*", s)
+    if STAND_IN.search(s):
+        s = NUMBER.sub("0", MIXED.sub(_letters, s))
+    if TRIPLE.search(s):
+        s = REPEATED.sub(r"\1", s)
+    return " ".join(s.split())
+
+
+def raw_sentences(text: str) -> list[str]:
+    """The sentences of a text as they stand; lines broken within a sentence are joined."""
+    if "\n" in text:
+        text = re.sub(r"(?<=[^\W\d_])-\n(?=[^\W\d_])", "", text)
+        text = re.sub(r"(?<=[^\n.!?:])\n(?=[^\W\d_A-Z])", " ", text)
+    return SENTENCE.split(text)
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of a text in plain form; lines broken within a sentence are joined."""
-    joined = re.sub(r"(?<=[^\W\d_])-\n(?=[^\W\d_])", "", text)
-    joined = re.sub(r"(?<=[^\n.!?:])\n(?=[^\W\d_A-Z])", " ", joined)
-    return [p for part in SENTENCE.split(joined) if sum(map(str.isalpha, part)) > 2 and (p := plain(part))]
+    """The sentences of a text in plain form, those of three letters or more."""
+    return [p for part in raw_sentences(text) if sum(map(str.isalpha, part)) > 2 and (p := plain(part))]
 
 
 @dataclass
@@ -219,7 +240,10 @@ def train(texts: Sequence[str], labels: Sequence[int]) -> tuple[np.ndarray, floa
     remains undecided in toxic documents teaches nothing.
     Without a document of either kind the model scores everything 0.
     """
-    parts = [list(dict.fromkeys(sentences(t))) for t in texts]
+    return _train([list(dict.fromkeys(sentences(t))) for t in texts], labels)
+
+
+def _train(parts: Sequence[list[str]], labels: Sequence[int]) -> tuple[np.ndarray, float]:
     doc = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
     toxic = np.asarray(labels, dtype=bool)[doc] if len(doc) else np.empty(0, dtype=bool)
     if not len(doc) or not toxic.any() or toxic.all():
@@ -241,54 +265,99 @@ def train(texts: Sequence[str], labels: Sequence[int]) -> tuple[np.ndarray, floa
     return _regress(g, marks, weight, log_count_ratios(g, marks, np.ones(len(marks))))
 
 
-def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> tuple[np.ndarray, float]:
+@dataclass
+class Model:
+    """Weights per hashed n-gram, bias, and the score from which a document counts as toxic."""
+
+    weights: np.ndarray
+    bias: float
+    threshold: float = THRESHOLD
+
+
+def calibrated(texts: Sequence[str], labels: Sequence[int]) -> Model:
+    """The model of ``train`` with a threshold by cross-fitting.
+
+    Two models, each of one half of the documents, score the other half. The threshold is what
+    ``HARMLESS_BELOW`` of the documents labelled harmless stay below, ``THRESHOLD`` at least: with few
+    labels, when scores of harmless documents scatter widely, fewer documents are reported.
+    """
+    parts = [list(dict.fromkeys(sentences(t))) for t in texts]
+    labels = np.asarray(labels)
+    held = []
+    for half in (0, 1):
+        own = [i for i in range(len(parts)) if i % 2 == half]
+        model = _train([parts[i] for i in own], labels[own])
+        held += [scores(*model, grams(parts[i])).max() for i in range(len(parts)) if i % 2 != half and parts[i] and not labels[i]]
+    threshold = max(THRESHOLD, float(np.quantile(held, HARMLESS_BELOW))) if held else THRESHOLD
+    return Model(*_train(parts, labels), threshold)
+
+
+def fit(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Train on at most ``MAX_TOXIC`` and ``MAX_HARMLESS`` labelled documents, chosen by a hash of their key.
 
-    Longer ones than ``MAX_SAMPLE_CHARS`` are not in the sample, which bounds what the driver holds. A document labelled several times takes the mean of its labels, rounded; null labels and null
-    texts are left out. Everything else about the corpus is read in full by ``score``.
+    The keys are chosen from the labels, then one scan reads their texts. Those that are null or
+    longer than ``MAX_SAMPLE_CHARS`` are not in the sample, which bounds what the driver holds to 70
+    million characters. A document labelled several times takes the mean of its labels, rounded; null
+    labels are left out. Everything else about the corpus is read in full by ``score``.
     """
-    marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
-    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= MAX_SAMPLE_CHARS).join(marks, "k").dropDuplicates(["k"])
-    sample = []
-    for mark, most in ((0, MAX_HARMLESS), (1, MAX_TOXIC)):
-        sample += rows.where(F.col("y") == mark).orderBy(F.xxhash64("k"), "k").limit(most).collect()
-    return train([r["t"] for r in sample], [r["y"] for r in sample])
+    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
+    order = [F.xxhash64("k"), "k"]
+    toxic, harmless = (marks.where(F.col("y") == mark).orderBy(*order).limit(most) for mark, most in ((1, MAX_TOXIC), (0, MAX_HARMLESS)))
+    chosen = cut(toxic.union(harmless))
+    rows = documents.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t") <= MAX_SAMPLE_CHARS)
+    found = rows.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.max("t").alias("t")).collect()
+    sample = sorted(((r["y"], xxh64_intdigest(repr(r["k"])), r["t"]) for r in found), key=lambda r: r[:2])
+    return calibrated([t for _, _, t in sample], [y for y, _, _ in sample])
 
 
-def score(documents: DataFrame, model: tuple[np.ndarray, float], key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(documents: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(key, score)``, one row per key: the highest score of the text's sentences.
 
-    Null, empty and blank texts score 0. Whole texts are read, in blocks of sentences; rows without
-    a key give no row and repeated rows come out once. The model is a table of fixed size.
+    Null, empty and blank texts score 0. Whole texts are read, in blocks of sentences; a sentence met
+    before, among the last ``CACHED_CHARS`` characters or so, keeps its score. Rows without a key give
+    no row and repeated rows come out once. The model is a table of fixed size.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
+    shared = documents.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
+        known: dict[str, float] = {}
+        size = 0
+
+        def learn(new: list[str]) -> None:
+            plains = [plain(part) if sum(map(str.isalpha, part)) > 2 else "" for part in new]
+            known.update(zip(new, np.where([not p for p in plains], 0.0, scores(weights, bias, grams(plains))).tolist()))
+
         for batch in batches:
-            values = [sentences(t) if t else [] for t in batch.column(1).to_pylist()]
-            best = np.zeros(len(values))
-            held: list[str] = []
-            owners: list[int] = []
-            size = 0
-            for i, parts in enumerate(values):
-                held += parts
-                owners += [i] * len(parts)
-                size += sum(map(len, parts))
-                if held and (size > BLOCK_CHARS or i + 1 == len(values)):
-                    np.maximum.at(best, owners, scores(weights, bias, grams(held)))
-                    held, owners, size = [], [], 0
-            if held:
-                np.maximum.at(best, owners, scores(weights, bias, grams(held)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best)], [key, "score"])
+            best: list = [raw_sentences(value) if value else [] for value in batch.column(1).to_pylist()]
+            for start in range(0, len(best), BLOCK_ROWS):
+                rows = best[start : start + BLOCK_ROWS]
+                if size > CACHED_CHARS:
+                    known.clear()
+                    size = 0
+                new: dict[str, None] = {}
+                waiting = 0
+                for part in (part for parts in rows for part in parts):
+                    if part not in known and part not in new:
+                        new[part] = None
+                        waiting += len(part)
+                        if waiting > BLOCK_CHARS:
+                            learn(list(new))
+                            size, waiting = size + waiting, 0
+                            new = {}
+                if new:
+                    learn(list(new))
+                    size += waiting
+                best[start : start + BLOCK_ROWS] = [max((known[p] for p in parts), default=0.0) for parts in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.float64())], [key, "score"])
 
     kind = documents.schema[key].dataType.simpleString()
     rows = spread(documents.where(F.col(key).isNotNull()).select(key, text))
     return rows.mapInArrow(run, f"`{key}` {kind}, score double").groupBy(key).agg(F.max("score").alias("score"))
 
 
-def rates(documents: DataFrame, scored: DataFrame, key: str = "doc_id", source: str = "source") -> DataFrame:
+def rates(documents: DataFrame, scored: DataFrame, key: str = "doc_id", source: str = "source", threshold: float = THRESHOLD) -> DataFrame:
     """``(source, documents, toxic, rate)`` for every source, null sources included."""
-    rows = documents.select(F.col(key), F.col(source).alias("source")).dropDuplicates([key]).join(scored, key)
-    toxic = F.sum((F.col("score") >= THRESHOLD).cast("long")).alias("toxic")
+    rows = documents.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(source).alias("source")).join(scored, key)
+    toxic = F.sum((F.col("score") >= threshold).cast("long")).alias("toxic")
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), toxic).withColumn("rate", F.col("toxic") / F.col("documents"))

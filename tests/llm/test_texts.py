@@ -143,7 +143,7 @@ def mangled(text):
 )
 def test_leaks(text, held):
     index = leaks.Index([(5, ITEM), (6, "Quite another item of the set with words of its own that no document holds at any place whatsoever today")])
-    assert [index.ids[i] for i, _ in leaks.leaked(index, leaks.Hasher(), text)] == ([5] if held else [])
+    assert [index.ids[i] for i, _ in leaks.leaked(index, leaks.Hasher(), [text])[0]] == ([5] if held else [])
 
 
 FAR = " ".join(f"filler{i}" for i in range(500))
@@ -156,21 +156,57 @@ BLURRED = " ".join(w[:-1] + "qz" if i % 4 == 3 and len(w) > 4 else w for i, w in
      (f"{' '.join(ITEM.split()[5:17])} {FAR} {HALF_1} {FAR} {HALF_2}", True)],
 )
 def test_leaks_in_two_stretches_far_apart(text, held):
-    assert [i for i, _ in leaks.leaked(leaks.Index([(5, ITEM)]), leaks.Hasher(), text)] == ([0] if held else [])
+    assert [i for i, _ in leaks.leaked(leaks.Index([(5, ITEM)]), leaks.Hasher(), [text])[0]] == ([0] if held else [])
 
 
 def test_blocks_find_every_fingerprint_within_the_radius():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    index = leaks.Index([(1, ITEM)])
-    for _ in range(200):
-        row = int(rng.integers(len(index.prints)))
-        flipped = index.prints[row]
-        for bit in rng.choice(64, int(rng.integers(0, leaks.RADIUS + 1)), replace=False):
-            flipped ^= np.uint64(1) << np.uint64(bit)
-        _, _, place = index.hits(np.array([flipped]))
-        assert index.place[row] in place
+    for size, blocks in leaks.Index([(1, ITEM)]).blocks.items():
+        assert size in leaks.window_sizes(len(ITEM.split()))
+        for _ in range(100):
+            row = int(rng.integers(len(blocks.prints)))
+            flipped = blocks.prints[row]
+            for bit in rng.choice(64, int(rng.integers(0, leaks.RADIUS + 1)), replace=False):
+                flipped ^= np.uint64(1) << np.uint64(bit)
+            _, _, place = blocks.hits(np.array([flipped]))
+            assert blocks.place[row] in place
+
+
+SHORT_ITEM = "seven quiet owls mend the broken clock by candle light"
+
+
+@pytest.mark.parametrize(
+    ("item", "text", "held"),
+    [("owls mend broken clocks", "they say that owls mend broken clocks at night", True), ("owls mend broken clocks", "they say that owls mend nothing", False),
+     ("what do owls mend when they rest", "we ask what do owls mend and why", True), (SHORT_ITEM, "at home seven quiet owls mend the house", True),
+     (SHORT_ITEM, "seven quiet dogs", False), ("owls", "the owls are here", True), (SHORT_ITEM, f"{FAR} the broken clock {FAR} by candle light {FAR}", True)],
+)
+def test_short_items_are_found(item, text, held):
+    index = leaks.Index([(1, item), (2, ITEM)])
+    assert [i for i, _ in leaks.leaked(index, leaks.Hasher(), ["", text])[1]] == ([0] if held else [])
+
+
+def test_windows_do_not_depend_on_chunks_or_neighbours(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(8)
+    texts = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 40))] for _ in range(30)]
+    whole = {(s, t, p): int(x) for s, ts, ps, xs in leaks.Hasher().windows(texts, [2, 6, 16]) for t, p, x in zip(ts, ps, xs)}
+    assert len(whole) == sum(max(0, len(t) - s + 1) for t in texts for s in (2, 6, 16))
+    monkeypatch.setattr(leaks, "CHUNK_WORDS", 7)
+    assert whole == {(s, t, p): int(x) for s, ts, ps, xs in leaks.Hasher().windows(texts, [2, 6, 16]) for t, p, x in zip(ts, ps, xs)}
+    one = next(iter(leaks.Hasher().windows([texts[3]], [2])))
+    assert all(whole[2, 3, int(p)] == int(x) for p, x in zip(one[2], one[3])) and isinstance(one[3], np.ndarray)
+
+
+def test_items_are_dealt_by_number_and_size(spark, monkeypatch):
+    monkeypatch.setattr(leaks, "CHARS_PER_BLOCK", 300)
+    items = spark.createDataFrame([(i, ITEM) for i in range(6)] + [(9, ITEM + " and more" * 100)], "item_id long, text string")
+    assert leaks.item_blocks(items.withColumnRenamed("item_id", "item")) >= 4
+    docs = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
+    assert {r.item_id for r in leaks.found(docs, items, "doc_id", "text", "item_id", "text").collect()} == set(range(6))
 
 
 def test_leaks_equal_brute_force_over_the_tables(spark, data):
