@@ -27,6 +27,17 @@ def p1_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.assign(_groups(spark, sf_dir))
 
 
+def p1_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: the pairs, the groups that stand in several splits, and whether each share is met within one in a hundred rows, or within the largest group where that is larger."""
+    rows = cut(p1_splits(spark, sf_dir))
+    sizes = cut(rows.where("group_key is not null").groupBy("group_key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("split").alias("splits")))
+    largest, several = sizes.agg(F.coalesce(F.max("n"), F.lit(1)), F.count(F.when(F.col("splits") > 1, 1))).first()
+    slack = F.greatest(F.lit(0.01), F.lit(largest) / F.count(F.lit(1)))
+    share = lambda name, part: (F.abs(F.avg((F.col("split") == name).cast("double")) - part) <= slack).alias(name)
+    counted = rows.agg(F.count(F.lit(1)).alias("pairs"), *(share(name, part) for name, part in splits.SPLITS))
+    return counted.withColumn("split_groups", F.lit(several).cast("int"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections whose summary was cut off."""
     return truncation.truncated(table(spark, sf_dir, "training_nodes"), "node_key", "summary", "title")
@@ -102,6 +113,19 @@ def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pieces(spark, sf_dir).dropDuplicates(["pair_id", "piece_no"])
 
 
+def p5_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each oversized text: whether its pieces keep the limit, repeat the last 800 characters, and give the text again."""
+    overlap = pieces.OVERLAP_TOKENS * pieces.CHARS_PER_TOKEN
+    parts = _pieces(spark, sf_dir).groupBy("pair_id", "piece_no").agg(F.max("piece").alias("piece"), F.max("piece_tokens").alias("tokens"))
+    listed = parts.groupBy("pair_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", "piece"))).alias("p"), F.max("tokens").alias("most"))
+    texts = table(spark, sf_dir, "training").groupBy("pair_id").agg(F.max("document_text").alias("text"))
+    joined = listed.join(texts, "pair_id")
+    rest = F.expr(f"transform(slice(p, 2, greatest(size(p) - 1, 0)), x -> substring(x.piece, {overlap + 1}))")
+    ends = F.expr(f"forall(sequence(2, greatest(size(p), 2)), i -> size(p) < 2 or startswith(p[i - 1].piece, right(p[i - 2].piece, {overlap})))")
+    whole = F.concat(F.col("p")[0]["piece"], F.array_join(rest, "")) == F.col("text")
+    return joined.select("pair_id", F.length("text").alias("chars"), (F.col("most") <= pieces.MAX_TOKENS).alias("within"), ends.alias("overlap"), whole.alias("whole"))
+
+
 def _looks(spark: SparkSession, sf_dir: str) -> list[tuple[str, DataFrame]]:
     titles = normal_form.digests(table(spark, sf_dir, "training_nodes"), "node_key", "title", within="pair_id")
     texts = normal_form.digests(table(spark, sf_dir, "training"), "pair_id", "document_text")
@@ -176,7 +200,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_splits, p2_found, p2_shares, p3_found, p4_quantiles, p4_daily, p4_bounds, p5_found, p5_pieces, p6_found, p6_groups, p6_forms,
+        p1_found, p1_splits, p1_bounds, p2_found, p2_shares, p3_found, p4_quantiles, p4_daily, p4_bounds, p5_found, p5_pieces, p5_bounds, p6_found, p6_groups, p6_forms,
         p7_ids, p8_found, p8_items, p9_found, p9_scores, p9_rates,
     )
 }
@@ -244,5 +268,9 @@ ORACLE: dict[str, str] = {
         SELECT pair_id, group_key FROM keyed
         WHERE group_key IN (SELECT group_key FROM keyed GROUP BY group_key HAVING min(pair_id) <> max(pair_id))
     """,
+    "p1_bounds": """SELECT count(*) AS pairs, true AS train, true AS validation, true AS test, CAST(0 AS INT) AS split_groups
+        FROM (SELECT DISTINCT pair_id FROM training)""",
+    "p5_bounds": """SELECT pair_id, CAST(max(length(document_text)) AS INT) AS chars, true AS within, true AS overlap, true AS whole FROM training
+        WHERE greatest(1, length(document_text) // 4) > 8000 AND pair_id IS NOT NULL GROUP BY pair_id""",
     "p5_found": "SELECT DISTINCT pair_id FROM training WHERE greatest(1, length(document_text) // 4) > 8000 AND pair_id IS NOT NULL",
 }

@@ -146,7 +146,7 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = f"{TOKENIZERS}/
     """``(key, ids)``, one row per key: the token ids of ``text``.
 
     Null and empty texts both give an empty list; texts of any length are encoded whole. A key
-    delivered several times comes out once; rows without a key give no row. Columns other than the
+    delivered several times comes out once, of different texts the largest; rows without a key give no row. Columns other than the
     two named are not read. ``vocabulary`` is a path that every executor can read.
     """
 
@@ -157,5 +157,5 @@ def encode(df: DataFrame, key: str, text: str, vocabulary: str = f"{TOKENIZERS}/
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "ids"])
 
     kind = df.schema[key].dataType.simpleString()
-    rows = df.select(key, text).where(F.col(key).isNotNull()).dropDuplicates([key])
+    rows = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(text).alias(text))
     return rows.mapInArrow(run, f"`{key}` {kind}, ids array<int>")
