@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANK = r"[\s\x1c-\x1f\x85\xa0]"
+# The tag of a page and the note behind a text cut for training.
+TAG, CUT_NOTE = "<physical_index_", "\n[truncated]"
 # US dollars per million input and output tokens.
 PRICES = {"groq": (0.05, 0.10), "openai": (0.15, 0.60), "anthropic": (0.25, 1.25), "ollama": (0.0, 0.0)}
 
@@ -56,7 +58,7 @@ def exact_tokens(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFra
 
 def tag_page(text: Column, number: Column) -> Column:
     """A page between two equal tags that name its number."""
-    tag = F.concat(F.lit("<physical_index_"), number.cast("string"), F.lit(">"))
+    tag = F.concat(F.lit(TAG), number.cast("string"), F.lit(">"))
     return F.concat(tag, F.lit("\n"), text, F.lit("\n"), tag, F.lit("\n\n"))
 
 
@@ -68,7 +70,7 @@ def truncate_text(text: Column, max_chars: int = 2000, suffix: str = "...") -> C
 def truncate_for_training(text: Column, max_tokens: int = 8000) -> Column:
     """The first ``4 * max_tokens`` characters and a note that the rest is left out."""
     limit = 4 * max_tokens
-    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit("\n[truncated]")))
+    return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, 1, limit), F.lit(CUT_NOTE)))
 
 
 def normalize_whitespace(text: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import count_tokens, tag_page
@@ -58,9 +58,16 @@ def group_pages(pages: DataFrame, max_tokens: int = 20_000, overlap: int = 1, do
     )
 
 
-def tag_pages(pages: DataFrame) -> DataFrame:
-    """Pages with their text tagged and their tokens counted on the tagged text."""
-    tagged = tag_page(F.col("text"), F.col("page_number"))
+def tag_pages(pages: DataFrame, start_index: int | None = None) -> DataFrame:
+    """Pages with their text tagged and their tokens counted on the tagged text.
+
+    Tags name the page's own number, or with ``start_index`` the number counted from there in page
+    order, for a range of pages that was cut out of a document.
+    """
+    number = F.col("page_number")
+    if start_index is not None:
+        number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number")) + (start_index - 1)
+    tagged = tag_page(F.col("text"), number)
     return pages.withColumn("text", tagged).withColumn("token_count", count_tokens(F.col("text")))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: what a question without any context is answered.
 NOTHING = "I could not find relevant information in this document to answer your question."
 
 

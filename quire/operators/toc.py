@@ -69,3 +69,8 @@ def merge_batches(batches: DataFrame) -> DataFrame:
     index = F.when((F.col("pos") == F.col("last_pos")) & F.col("update").isNotNull(), F.col("update.physical_index")).otherwise(F.col("physical_index"))
     order = Window.partitionBy("doc_id").orderBy("batch", "pos")
     return kept.select("doc_id", F.row_number().over(order).alias("pos"), "structure", "title", index.alias("physical_index"))
+
+
+def item_json(items: DataFrame) -> DataFrame:
+    """Items with ``json``: structure, title, index and start of a list item as an object without its nulls."""
+    return items.withColumn("json", F.to_json(F.struct("structure", "title", "physical_index", "appear_start")))

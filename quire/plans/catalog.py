@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import json_text, text
 from quire.operators import chunk, markdown, search, toc, tree, verify
 from quire.plans import training
-from quire.plans.build import TreeBuilder
+from quire.plans.build import FAILED, TreeBuilder
 from quire.sources import pages as page_source
 from quire.sources import records
 from quire.runtime import table
@@ -87,7 +87,7 @@ def doc_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_pages(spark: SparkSession, d: str) -> DataFrame:
-    once = table(spark, d, "training").select("pair_id", "document_text").dropDuplicates(["pair_id"])
+    once = table(spark, d, "training").groupBy("pair_id").agg(F.max("document_text").alias("document_text"))
     return page_source.from_lines(once, "pair_id", "document_text")
 
 
@@ -112,6 +112,74 @@ def trees(spark: SparkSession, d: str) -> DataFrame:
     return built.select("doc_id", "pos", "parent_pos", "path", "depth", "node_id", "title", "summary", "start_index", "end_index")
 
 
+HEADED = r"^[0-9]+([.][0-9]+)*$"
+UNFIT = r"[ .]{2}|[.]$|[\n\r]"
+BODY = "This page belongs to paper "
+
+
+def paper_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The sections of the training trees that can stand as a numbered heading, with their page in ``paper_pages``."""
+    title = text.strip(F.col("title"))
+    rows = valid_items(spark, d).withColumn("title", title)
+    fit = F.col("structure").rlike(HEADED) & ~F.col("title").rlike(UNFIT) & F.length("title").between(1, 80)
+    return rows.where(fit).select("doc_id", "pos", "structure", "title", (F.col("physical_index") + F.sign(F.col("doc_id") % 3).cast("int")).alias("page_number"))
+
+
+def paper_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Papers as pages with their headings, in three kinds by number.
+
+    Every third has numbered headings and no table of contents; the next begins with a table of
+    contents of its unnumbered headings; the next with one whose entries stand nowhere else.
+    """
+    kind = F.col("doc_id") % 3
+    sections = paper_sections(spark, d)
+    heading = F.when(kind == 1, F.col("title")).otherwise(F.concat_ws(" ", "structure", "title"))
+    listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "pos", c.alias("line")))), lambda x: x["line"]), "\n")
+    lines = sections.groupBy("doc_id", "page_number").agg(listed(heading).alias("lines"))
+    entry = F.concat_ws(" ", "structure", "title", F.lit("...."), F.col("page_number").cast("string"))
+    tables = sections.where(kind == 1).groupBy("doc_id").agg(listed(entry).alias("entries"))
+    totals = table(spark, d, "training").groupBy(F.col("pair_id").alias("doc_id")).agg(F.max("page_count").alias("total")).where("doc_id is not null and total >= 1")
+    last = F.col("total") + F.sign(kind).cast("int")
+    pages = totals.select("doc_id", F.explode(F.sequence(F.lit(1), last)).alias("page_number"))
+    body = F.concat(F.lit(BODY), F.col("doc_id").cast("string"), F.lit("."))
+    front = F.when(kind == 1, F.coalesce("entries", F.lit(""))).otherwise("Chapter 1 .... 2\nChapter 2 .... 3\nChapter 3 .... 4")
+    first = (F.col("page_number") == 1) & (kind > 0)
+    page = F.when(first, F.concat(F.lit("Contents\n"), front)).otherwise(F.concat_ws("\n", "lines", body))
+    joined = pages.join(lines, ["doc_id", "page_number"], "left").join(tables, "doc_id", "left")
+    return joined.select("doc_id", "page_number", page.alias("text")).withColumn("token_count", text.count_tokens(F.col("text")))
+
+
+PAPERS = rf"""sect AS (
+        SELECT doc_id, pos, structure, title, physical_index + CAST(doc_id % 3 > 0 AS INT) AS page_number
+        FROM (SELECT doc_id, pos, structure, {STRIP('title')} AS title, physical_index FROM valid)
+        WHERE regexp_matches(structure, '{HEADED}') AND NOT regexp_matches(title, '{UNFIT}') AND length(title) BETWEEN 1 AND 80),
+    kinds AS (SELECT pair_id AS doc_id, CAST(max(page_count) + CAST(pair_id % 3 > 0 AS INT) AS INT) AS last FROM training
+              WHERE pair_id IS NOT NULL GROUP BY pair_id HAVING max(page_count) >= 1),
+    papers AS (
+        SELECT k.doc_id, CAST(n AS INT) AS page_number, CASE WHEN n = 1 AND k.doc_id % 3 > 0 THEN 'Contents' || chr(10) || CASE WHEN k.doc_id % 3 = 1
+                   THEN coalesce((SELECT string_agg(structure || ' ' || title || ' .... ' || page_number, chr(10) ORDER BY page_number, pos) FROM sect s WHERE s.doc_id = k.doc_id), '')
+                   ELSE 'Chapter 1 .... 2' || chr(10) || 'Chapter 2 .... 3' || chr(10) || 'Chapter 3 .... 4' END
+               ELSE coalesce((SELECT string_agg(CASE WHEN s.doc_id % 3 = 1 THEN title ELSE structure || ' ' || title END, chr(10) ORDER BY pos)
+                              FROM sect s WHERE s.doc_id = k.doc_id AND s.page_number = n) || chr(10), '') || '{BODY}' || k.doc_id || '.' END AS text
+        FROM kinds k, unnest(range(1, k.last + 1)) AS u(n))"""
+# What the rules make of them: headings by number, or entries of a table of contents on the first page that holds them.
+BUILT = rf"""entries AS (
+        SELECT s.doc_id, s.page_number AS shown, s.pos, structure, title, min(p.page_number) AS page_number
+        FROM sect s JOIN papers p ON p.doc_id = s.doc_id AND p.page_number > 1 AND contains({SQUEEZE('p.text')}, {SQUEEZE('s.title')})
+        WHERE s.doc_id % 3 = 1 AND s.doc_id IN (SELECT doc_id FROM sect GROUP BY doc_id HAVING count(*) >= 3) GROUP BY ALL),
+    headed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title ORDER BY page_number, pos) AS nth FROM sect WHERE doc_id % 3 <> 1),
+    found AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY shown, pos) AS INT) AS pos, structure, title, page_number AS physical_index FROM entries
+              UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, pos) AS INT), structure, title, page_number FROM headed WHERE nth = 1),
+    started AS (SELECT f.*, CASE WHEN starts_with({SQUEEZE('p.text')}, {SQUEEZE('f.title')}) THEN 'yes' ELSE 'no' END AS appear_start
+                FROM found f JOIN papers p ON p.doc_id = f.doc_id AND p.page_number = f.physical_index),
+    prefaced AS (SELECT * FROM started UNION ALL SELECT doc_id, 0, '0', 'Preface', 1, 'yes' FROM started WHERE pos = 1 AND physical_index > 1),
+    ranges AS (
+        SELECT doc_id, pos, structure, title, NULL AS summary, physical_index AS start_index,
+               greatest(physical_index, CASE WHEN nxt IS NULL THEN last WHEN nxt_start = 'yes' THEN nxt - 1 ELSE nxt END) AS end_index
+        FROM (SELECT *, lead(physical_index) OVER w AS nxt, lead(appear_start) OVER w AS nxt_start FROM prefaced WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+        JOIN kinds USING (doc_id))"""
+
+
 def geo_items(spark: SparkSession, d: str) -> DataFrame:
     """Regions, nations and suppliers as sections ``r``, ``r.n``, ``r.n.s`` of one document."""
     r, n, s = (table(spark, d, t) for t in ("region", "nation", "supplier"))
@@ -140,6 +208,21 @@ def tag_pages(spark: SparkSession, d: str) -> DataFrame:
     return doc_pages(spark, d).select("doc_id", "page_number", text.tag_page(F.col("text"), F.col("page_number")).alias("tagged"))
 
 
+@query(f"""WITH {DOC_PAGES} SELECT doc_id, page_number, '<physical_index_' || n || '>' || chr(10) || text || chr(10) || '<physical_index_' || n || '>' || chr(10) || chr(10) AS tagged
+    FROM (SELECT *, 10 + row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS n FROM doc_pages WHERE page_number > 1)""")
+def tag_pages_range(spark: SparkSession, d: str) -> DataFrame:
+    """The pages behind each document's first, tagged from 11 on."""
+    tagged = chunk.tag_pages(doc_pages(spark, d).where("page_number > 1"), 11)
+    return tagged.select("doc_id", "page_number", F.col("text").alias("tagged"))
+
+
+@query(f"""WITH {DOC_PAGES} SELECT doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY page_number)) AS text_md5, count(*) AS page_count,
+    CAST(sum({TOKENS('text')}) AS BIGINT) AS total_tokens FROM doc_pages GROUP BY doc_id""")
+def document_text(spark: SparkSession, d: str) -> DataFrame:
+    whole = page_source.document_texts(doc_pages(spark, d))
+    return whole.select("doc_id", F.md5("document_text").alias("text_md5"), "page_count", "total_tokens")
+
+
 @query("SELECT doc_id, CASE WHEN length(text) <= 50 THEN text ELSE substring(text, 1, 47) || '...' END AS short, CASE WHEN length(text) <= 400 THEN text ELSE substring(text, 1, 400) || chr(10) || '[truncated]' END AS for_training FROM documents")
 def truncate_text(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
@@ -263,6 +346,12 @@ def merge_toc(spark: SparkSession, d: str) -> DataFrame:
     return toc.merge_batches(batches)
 
 
+@query(f"""WITH {ITEMS} SELECT doc_id, pos, '{{' || concat_ws(',', '"structure":' || CAST(to_json(structure) AS VARCHAR), '"title":' || CAST(to_json(title) AS VARCHAR),
+    '"physical_index":' || physical_index, '"appear_start":"' || appear_start || '"') || '}}' AS json FROM valid""")
+def toc_item_json(spark: SparkSession, d: str) -> DataFrame:
+    return toc.item_json(valid_items(spark, d)).select("doc_id", "pos", "json")
+
+
 # Trees.
 
 
@@ -370,10 +459,10 @@ def mode_route(spark: SparkSession, d: str) -> DataFrame:
     return verify.route(verify.accuracy(verify.appears(page_toc(spark, d), doc_pages(spark, d)))).select("doc_id", "route")
 
 
-@query(rf"""WITH {DOC_PAGES} SELECT doc_id, page_number FROM doc_pages WHERE page_number <= 20
+@query(rf"""WITH {ITEMS}, {PAPERS} SELECT doc_id, page_number FROM papers WHERE page_number <= 20
     AND len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^.*\S[ .]{{2,}}\d+\s*$'))) >= 3""")
 def toc_page_filter(spark: SparkSession, d: str) -> DataFrame:
-    return verify.toc_pages(doc_pages(spark, d)).select("doc_id", "page_number")
+    return verify.toc_pages(paper_pages(spark, d)).select("doc_id", "page_number")
 
 
 # Markdown.
@@ -503,14 +592,30 @@ def error_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(message).agg(F.count(F.lit(1)).alias("records"), F.count_distinct("arxiv_id").alias("papers"))
 
 
-@query(f"""{TREE} SELECT doc_id, node_id, CAST(t AS INT) AS template,
-    '{{"thinking":"The section fits.","node_list":["' || node_id || '"]}}' AS reply FROM numbered, unnest(range(5)) AS u(t) WHERE coalesce(summary, '') <> ''""")
+def _structures_sql(fields: tuple[str, ...]) -> str:
+    """Nested JSON of the numbered nodes in SQL: what opens and closes between a node and the one before follows from their depths."""
+    named = ", ".join(f"""'"{f}":' || CAST(to_json({f}) AS VARCHAR)""" for f in fields)
+    return f"""chained AS (SELECT doc_id, node_id, depth, concat_ws(',', {named}) AS own, lag(depth) OVER w AS above, lead(depth) OVER w AS below FROM numbered
+                         WINDOW w AS (PARTITION BY doc_id ORDER BY path)),
+    structures AS (SELECT doc_id, '[' || string_agg(CASE WHEN above IS NULL THEN '' WHEN depth > above THEN ',"nodes":[' ELSE repeat(']}}', above - depth) || ',' END
+                                                    || '{{' || own || CASE WHEN below > depth THEN '' ELSE '}}' END
+                                                    || CASE WHEN below IS NULL THEN repeat(']}}', depth - 1) ELSE '' END, '' ORDER BY node_id) || ']' AS structure
+                   FROM chained GROUP BY doc_id)"""
+
+
+TEMPLATES_SQL = "(VALUES " + ", ".join(f"({n}, '{q}')" for n, q in enumerate(training.QUESTIONS)) + ") AS q(template, q)"
+
+
+@query(f"""{TREE}, {_structures_sql(("title", "node_id", "summary"))} SELECT doc_id, node_id, template, '{training.SEARCH_ROLE}' AS role,
+    md5(replace(q, '{{}}', title) || chr(10) || chr(10) || 'Tree:' || chr(10) || structure) AS asked_md5,
+    '{{"thinking":"The section fits.","node_list":["' || node_id || '"]}}' AS reply
+    FROM numbered JOIN structures USING (doc_id), {TEMPLATES_SQL} WHERE coalesce(summary, '') <> ''""")
 def treesearch_examples(spark: SparkSession, d: str) -> DataFrame:
     nodes = trees(spark, d)
     structures = tree.to_json(nodes, ("title", "node_id", "summary"))
     made = training.search_examples(nodes, structures)
-    reply = F.get("messages", F.lit(2))["content"]
-    return made.select("doc_id", "node_id", "template", reply.alias("reply"))
+    said = lambda n: F.get("messages", F.lit(n))["content"]
+    return made.select("doc_id", "node_id", "template", said(0).alias("role"), F.md5(said(1)).alias("asked_md5"), said(2).alias("reply"))
 
 
 @query(f"""{TREE}, h AS (SELECT doc_id, node_id, md5(doc_id || ':' || node_id) AS h FROM numbered),
@@ -521,18 +626,33 @@ def train_eval_split(spark: SparkSession, d: str) -> DataFrame:
     return training.split(nodes, F.concat(F.col("doc_id").cast("string"), F.lit(":"), "node_id"))
 
 
-@query(f"""WITH {ITEMS} SELECT pair_id, length(CASE WHEN length(document_text) <= 32000 THEN document_text ELSE substring(document_text, 1, 32000) || chr(10) || '[truncated]' END) AS prompt_chars
-    FROM (SELECT DISTINCT pair_id, document_text FROM training WHERE document_text IS NOT NULL) WHERE pair_id IN (SELECT doc_id FROM valid)""")
+@query(f"""{TREE}, {_structures_sql(("title", "start_index", "end_index", "node_id", "summary"))}
+    SELECT doc_id AS pair_id, '{training.BUILD_ROLE}' AS role,
+           md5(CASE WHEN length(document_text) <= 32000 THEN document_text ELSE substring(document_text, 1, 32000) || chr(10) || '[truncated]' END) AS text_md5,
+           md5('{{"doc_name":' || coalesce(CAST(to_json(doc_name) AS VARCHAR), 'null') || ',"structure":' || structure || '}}') AS tree_md5
+    FROM (SELECT pair_id AS doc_id, max(document_text) AS document_text, max(doc_name) AS doc_name FROM training GROUP BY 1) JOIN structures USING (doc_id)
+    WHERE document_text IS NOT NULL""")
 def treegen_examples(spark: SparkSession, d: str) -> DataFrame:
-    once = table(spark, d, "training").where("document_text is not null").select(F.col("pair_id").alias("doc_id"), "doc_name", "document_text").dropDuplicates(["doc_id"])
+    once = table(spark, d, "training").groupBy(F.col("pair_id").alias("doc_id")).agg(F.max("doc_name").alias("doc_name"), F.max("document_text").alias("document_text"))
     structures = tree.to_json(trees(spark, d), ("title", "start_index", "end_index", "node_id", "summary"))
-    made = training.build_examples(once.join(structures, "doc_id"))
-    return made.select(F.col("doc_id").alias("pair_id"), F.length(F.get("messages", F.lit(1))["content"]).alias("prompt_chars"))
+    made = training.build_examples(once.where("document_text is not null").join(structures, "doc_id"))
+    said = lambda n: F.get("messages", F.lit(n))["content"]
+    return made.select(F.col("doc_id").alias("pair_id"), said(0).alias("role"), F.md5(said(1)).alias("text_md5"), F.md5(said(2)).alias("tree_md5"))
+
+
+FAILED_SQL = FAILED.replace("'", "''")
 
 
-@query()
+@query(rf"""WITH RECURSIVE {ITEMS}, {PAPERS}, {BUILT}, {PARENTS}, {PATHS},
+    texts AS (SELECT n.doc_id, n.pos, {STRIP("string_agg(p.text, chr(10) || chr(10) ORDER BY p.page_number)")} AS text
+              FROM numbered n JOIN papers p ON p.doc_id = n.doc_id AND p.page_number BETWEEN n.start_index AND n.end_index GROUP BY 1, 2),
+    said AS (SELECT *, regexp_extract(text, '(?s)^\s*(.*?[.!?])(\s|$)', 1) AS first FROM texts)
+    SELECT n.doc_id, n.node_id, n.depth, n.title, n.start_index, n.end_index,
+           CASE WHEN first <> '' AND length(first) <= 200 THEN first ELSE substring(text, 1, 200) END AS summary FROM numbered n JOIN said USING (doc_id, pos)
+    UNION ALL SELECT doc_id, NULL, NULL, '{FAILED_SQL}', NULL, NULL, NULL FROM kinds WHERE doc_id NOT IN (SELECT doc_id FROM numbered)""")
 def build_trees(spark: SparkSession, d: str) -> DataFrame:
-    """The whole pipeline over all documents: lists, verification, trees, texts, summaries."""
-    nodes, failures = TreeBuilder().build(doc_pages(spark, d))
-    failed = failures.select("doc_id", F.lit(None).cast("string").alias("node_id"), F.col("error").alias("title"), F.lit(None).cast("int").alias("start_index"), F.lit(None).cast("int").alias("end_index"), F.lit(None).cast("string").alias("summary"))
-    return nodes.select("doc_id", "node_id", "title", "start_index", "end_index", "summary").unionByName(failed)
+    """The whole pipeline over papers of all three kinds: lists, verification, fallbacks, trees, texts, summaries, failures."""
+    nodes, failures = TreeBuilder().build(paper_pages(spark, d))
+    columns = ["doc_id", "node_id", "depth", "title", "start_index", "end_index", "summary"]
+    failed = failures.select("doc_id", F.col("error").alias("title"))
+    return nodes.select(*columns).unionByName(failed, allowMissingColumns=True)

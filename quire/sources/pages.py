@@ -76,8 +76,8 @@ def document_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def read_pdf(spark: SparkSession, folder: str, max_pages: int | None = None, readers: Callable[[], list[Extract]] = extractors, prefer_second: bool = False) -> DataFrame:
-    """``(doc_id, page_number, text, token_count, doc_name, error)`` of all PDF files in a folder.
+def read_pdf(spark: SparkSession, folder: str | list[str], max_pages: int | None = None, readers: Callable[[], list[Extract]] = extractors, prefer_second: bool = False) -> DataFrame:
+    """``(doc_id, page_number, text, token_count, doc_name, error)`` of all PDF files in a folder, or of some paths.
 
     Files that do not start like a PDF, cannot be read or have more than ``max_pages`` give one row
     with ``error`` and no page. Unpaired surrogates are replaced.
@@ -121,6 +121,21 @@ def from_lines(documents: DataFrame, key: str = "doc_id", text: str = "text", li
     return rows.select("doc_id", (F.col("n") + 1).alias("page_number"), "text", count_tokens(F.col("text")).alias("token_count"))
 
 
+def document_texts(pages: DataFrame) -> DataFrame:
+    """``(doc_id, document_text, page_count, total_tokens)``: a document's pages joined by blank lines, null pages empty."""
+    row = F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"))
+    grouped = pages.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(row)).alias("p"), F.count(F.lit(1)).alias("page_count"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens")
+    )
+    return grouped.select("doc_id", F.array_join("p.text", "\n\n").alias("document_text"), "page_count", "total_tokens")
+
+
+def list_documents(spark: SparkSession, folder: str, pattern: str = "*.[pP][dD][fF]") -> DataFrame:
+    """``(doc_id, doc_name, path)`` of the files of a folder, by path only: no content is read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path")
+    return files.select(F.xxhash64("path").alias("doc_id"), document_name(F.col("path")).alias("doc_name"), "path")
+
+
 def empty_pages(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], PAGES)
 

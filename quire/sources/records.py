@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quire.schemas import ERROR_RECORD, EXAMPLE, TRAINING_PAIR
 
 
-def read_training(spark: SparkSession, folder: str) -> DataFrame:
-    """Training pairs, one JSON file each; ``tree`` stays JSON text."""
-    return spark.read.option("multiLine", True).schema(TRAINING_PAIR).json(folder)
+def read_training(spark: SparkSession, folder: str, lines: bool = False) -> DataFrame:
+    """Training pairs, one JSON file each or one object a line; ``tree`` stays JSON text."""
+    return spark.read.option("multiLine", not lines).schema(TRAINING_PAIR).json(folder)
 
 
 def read_errors(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,12 +28,34 @@ def pending(documents: DataFrame, done: DataFrame, failed: DataFrame, key: str,
     return rest if limit is None else rest.orderBy(key).limit(limit)
 
 
+def known(spark: SparkSession, folder: str) -> DataFrame:
+    """The papers that a folder of JSON lines holds; none where it does not exist yet."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], "arxiv_id string")
+    return spark.read.schema("arxiv_id string").json(folder).select("arxiv_id").where("arxiv_id is not null").distinct()
+
+
+def pair_json(results: DataFrame) -> DataFrame:
+    """``(value)``: training pairs as JSON lines, ``tree`` (JSON text) standing as an object."""
+    head = F.to_json(F.struct("arxiv_id", "document_text", "page_count", "total_tokens"))
+    tail = F.concat(F.lit(',"tree":'), F.coalesce("tree", F.lit("null")), F.lit(',"metadata":'), F.to_json("metadata"), F.lit("}"))
+    return results.select(F.concat(F.left(head, F.length(head) - 1), tail).alias("value"))
+
+
 def write_results(results: DataFrame, training: str, errors: str) -> None:
-    """``(arxiv_id, ..., error, elapsed_seconds)``: successes and failures into two folders of JSON lines."""
-    good = results.where("error is null").drop("error", "elapsed_seconds")
+    """``(arxiv_id, ..., error, elapsed_seconds)``: successes and failures into two folders of JSON lines.
+
+    Papers that the folder holds already are skipped, so a job that runs again writes nothing twice.
+    """
+    spark = results.sparkSession
+    good = results.where("error is null").drop("error", "elapsed_seconds").join(known(spark, training), "arxiv_id", "left_anti")
     bad = results.where("error is not null").select("arxiv_id", "error", "elapsed_seconds", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))
-    good.write.mode("append").json(training)
-    bad.write.mode("append").json(errors)
+    if {"tree", "metadata"} <= set(good.columns):
+        pair_json(good).write.mode("append").text(training)
+    else:
+        good.write.mode("append").json(training)
+    bad.join(known(spark, errors), "arxiv_id", "left_anti").write.mode("append").json(errors)
 
 
 def progress(results: DataFrame, skipped: int = 0) -> DataFrame:

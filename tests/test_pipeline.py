@@ -98,6 +98,144 @@ def test_a_scripted_model_builds_corrects_and_answers(spark):
     assert row.answer == "Some words." and [c.title for c in row.citations] == ["Results", "Methods"]
 
 
+def recorder(answers):
+    """A fake backend that keeps every prompt in a folder, and replies by the first words of it."""
+
+    def send(url, body, headers, timeout):
+        import hashlib
+        from pathlib import Path
+
+        prompt = body["messages"][-1]["content"]
+        (Path(url.split("/", 2)[2].removesuffix("/chat/completions")) / hashlib.md5(prompt.encode()).hexdigest()).write_text(prompt)
+        for start, reply in answers.items():
+            if prompt.startswith(start):
+                if reply is None:
+                    raise OSError("the line is down")
+                return {"choices": [{"message": {"content": reply if isinstance(reply, str) else json.dumps(reply)}, "finish_reason": "stop"}]}
+        raise AssertionError(prompt[:60])
+
+    return send
+
+
+ANSWERS = {
+    "Does the page below": {"toc_detected": "yes"}, "Copy the full": "1 Alpha\n2 Beta", "Does this table of contents give": {"page_index_given_in_toc": "yes"},
+    "Give each entry": [{"structure": "1", "title": 'A "quoted" {title}', "physical_index": "<physical_index_2>"}, {"structure": "2", "title": "Beta", "physical_index": 1}, {"structure": "3", "title": "C", "physical_index": 1}],
+    "Does this section appear": {"answer": "yes"}, "Does this section begin": {"start_begin": "yes"}, "Describe in a few": "Said.", "Describe in one": "One sentence.",
+    "Which nodes": {"thinking": "t", "node_list": ["0002"]}, "Answer the question": "An answer.",
+}
+
+
+def prompts_in(folder):
+    return sorted(p.read_text() for p in folder.iterdir())
+
+
+def test_every_stage_sends_its_texts_as_they_are(spark, tmp_path):
+    backend = http.compatible(f"http://{tmp_path}", "m")
+    builder = TreeBuilder(Settings(add_doc_description=True, max_concurrent_llm_calls=2), http.HttpCompleter(backend, retries=1, delay=0, send=recorder(ANSWERS)), count_requests=True)
+    assert builder.completer.inflight == 2
+    text = ['Contents "x" \\u0000 [[quire]]', "A page {0} %s"]
+    pages = paper(spark, 1, text)
+    nodes, failures = builder.build(pages)
+    rows = nodes.orderBy("node_id").collect()
+    assert failures.count() == 0 and {r.doc_description for r in rows} == {"One sentence."} and len(rows) == 4
+    asked = spark.createDataFrame([(1, 1, 'which "part"?')], "query_id long, doc_id long, question string")
+    row = builder.answer(asked, nodes, pages).collect()[0]
+    assert row.answer == "An answer." and len(row.citations) == 1
+    sent = prompts_in(tmp_path)
+    tagged = "".join(f"<physical_index_{n}>\n{t}\n<physical_index_{n}>\n\n" for n, t in enumerate(text, 1))
+    items = [("A \"quoted\" {title}", 1), ("Beta", 0), ("C", 0)]
+    with_ranges = tree_json([(r.title, r.start_index, r.end_index, r.node_id, r.summary) for r in rows], ("title", "start_index", "end_index", "node_id", "summary"))
+    searched = tree_json([(r.title, r.node_id, r.summary) for r in rows], ("title", "node_id", "summary"))
+    want = [prompts.toc_page(t) for t in text] + [prompts.extract_toc("\n".join(text)), prompts.detect_page_index("1 Alpha\n2 Beta"), prompts.index_toc("1 Alpha\n2 Beta", tagged)]
+    want += [prompts.title_appears(t, text[p]) for t, p in items] + [prompts.title_at_start(t, text[p]) for t, p in items]
+    want += [prompts.describe(with_ranges), prompts.search('which "part"?', searched), prompts.answer('which "part"?', row.context)]
+    assert set(want) <= set(sent)
+    assert {p for p in sent if not p.startswith("Describe in a few")} == set(want)
+    assert sum(builder.requested.values()) == len(sent)
+
+
+def tree_json(rows, fields):
+    return json.dumps([dict(zip(fields, r)) for r in rows], separators=(",", ":"), ensure_ascii=False)
+
+
+def test_prompts_without_their_texts_are_refused():
+    from quire.plans.build import prompt_column
+
+    for build in (lambda a, b: a, lambda a, b: b + a, lambda a, b: a + a + b, lambda a, b: json.dumps({"\x00": a})):
+        with pytest.raises(ValueError, match="does not hold"):
+            prompt_column(build, F.lit("x"), F.lit("y"))
+
+
+def test_one_completer_serves_the_folds_and_their_errors_are_kept(spark, tmp_path):
+    answers = {"Does the page below": {"toc_detected": "no"}, "List the sections": None}
+    backend = http.compatible(f"http://{tmp_path}", "m")
+    nodes, failures = TreeBuilder(completer=http.HttpCompleter(backend, retries=1, delay=0, send=recorder(answers))).build(paper(spark))
+    error = failures.collect()[0].error
+    assert nodes.count() == 0 and "no_toc: RuntimeError" in error and "the line is down" in error
+    assert any(p.startswith("List the sections") for p in prompts_in(tmp_path))
+    nothing = spark.createDataFrame([], "req_id string, text string, finish_reason string")
+    error = TreeBuilder(completer=offline.ReplayCompleter(nothing)).build(paper(spark))[1].collect()[0].error
+    assert "no recorded reply for first_sections" in error
+
+
+def test_a_local_model_answers_every_stage(spark):
+    def generate(messages):
+        if messages[-1]["content"].startswith("List the sections"):
+            return base.Reply('[{"structure": "1", "title": "Introduction", "physical_index": 1}]', "stop")
+        if "broken" in messages[-1]["content"]:
+            raise OSError("no")
+        return base.Reply('{"toc_detected": "no", "answer": "yes", "start_begin": "no"}', "stop")
+
+    nodes, failures = TreeBuilder(Settings(add_summaries=False), http.LocalCompleter(generate)).build(paper(spark))
+    assert [r.title for r in nodes.collect()] == ["Introduction"] and failures.count() == 0
+    done = http.LocalCompleter(generate).complete(requests(spark, ["a", "broken", "a"])).collect()
+    assert {r.req_id: r.status for r in done} == {"a": "ok", "broken": "error"}
+
+
+def test_first_children_that_repeat_their_leaf_are_left_out(spark):
+    texts = ["1 One\nstart"] + [f"page {n}" for n in range(2, 6)] + ["1 One\nagain", "1.1 One\nlast"]
+    builder = TreeBuilder(Settings(max_pages_per_node=2, max_tokens_per_node=1, add_summaries=False))
+    items = spark.createDataFrame([(1, 1, "1", "\u00a0One ", 1)], "doc_id long, pos int, structure string, title string, physical_index int")
+    rows = builder.assemble(items, paper(spark, 1, texts)).collect()
+    assert [(r.title.strip(), r.depth) for r in rows] == [("One", 1)]
+
+
+def test_jobs_write_pairs_once_and_examples(spark, tmp_path):
+    from quire.plans import batch
+
+    for name in ("a", "b", "c"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"{name}.pdf").write_bytes(b"%PDF-1.4 x" if name != "c" else b"not one")
+    readers = lambda: [lambda data: list(PAPER)]
+    out = [str(tmp_path / n) for n in ("good", "bad", "progress")]
+    first = batch.run_batch(spark, str(tmp_path / "in"), *out, limit=2, readers=readers).collect()[0]
+    assert (first.processed, first.errors, first.skipped) == (2, 0, 1)
+    second = batch.run_batch(spark, str(tmp_path / "in"), *out, readers=readers).collect()[0]
+    assert (second.processed, second.errors, second.skipped) == (0, 1, 2)
+    assert batch.run_batch(spark, str(tmp_path / "in"), *out, readers=readers).collect()[0].total == 3
+    pairs = records.read_training(spark, out[0], lines=True)
+    rows = {r.arxiv_id: r for r in pairs.collect()}
+    assert set(rows) == {"a", "b"} and len(pairs.collect()) == 2 and rows["a"].page_count == 5 and rows["a"].document_text == "\n\n".join(PAPER)
+    assert json.loads(rows["a"].tree)["doc_name"] == "a" and json.loads(rows["a"].tree)["structure"][0]["title"] == "Introduction"
+    counts = {(r.kind, r.split): r.examples for r in batch.write_examples(spark, pairs, str(tmp_path / "examples")).collect()}
+    assert counts == {("treegen", "train"): 1, ("treegen", "eval"): 1, ("treesearch", "train"): 36, ("treesearch", "eval"): 4}
+    assert records.read_examples(spark, str(tmp_path / "examples" / "treesearch" / "train")).count() == 36
+
+
+def test_providers_are_compared(spark):
+    from quire.plans import batch
+
+    class Broken(base.Completer):
+        name = "broken"
+
+        def complete(self, requests):
+            raise OSError("no")
+
+    rows = {r.provider: r for r in batch.compare_providers(paper(spark), {"openai": offline.RuleCompleter(), "broken": Broken()}).collect()}
+    assert rows["openai"].nodes == 4 and rows["openai"].depth == 2 and rows["openai"].requests > 10 and rows["openai"].cost == "$0.0002"
+    assert rows["broken"].error == "OSError: no" and rows["broken"].cost is None
+
+
 def test_folds():
     groups = ["<physical_index_1>\n1 A\n<physical_index_1>\n\n", "<physical_index_2>\n1 A\n2 B\n<physical_index_2>\n\n"]
     assert [i["title"] for i in folds.fold_no_toc(groups, folds.rule_ask)] == ["A", "B"]
@@ -207,6 +345,7 @@ def test_examples_and_split(spark, tmp_path):
     assert len(made) == len(training.QUESTIONS) and json.loads(made[0].messages[2].content)["node_list"] == ["0001"]
     rows = spark.range(100)
     parts = training.split(rows, F.col("id"))
+    assert training.split(rows.limit(0), F.col("id")).count() == 0 and training.split(rows.limit(1), F.col("id")).where("split = 'eval'").count() == 1
     assert parts.where("split = 'eval'").count() == 10 and parts.exceptAll(training.split(rows, F.col("id"))).count() == 0
     docs = spark.createDataFrame([(1, 'a "q"', "t" * 50, "[]")], "doc_id long, doc_name string, document_text string, structure string")
     (tmp_path / "e.jsonl").write_text(json.dumps({"messages": [{"role": "user", "content": "q"}]}) + "\n\n")

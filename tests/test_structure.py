@@ -100,6 +100,13 @@ def test_trees_are_numbered_depth_first_and_survive_json(spark):
     assert [r.line for r in tree.outline(built).orderBy("line_no").collect()][1] == "  [0002] b (pp. 2-2)"
 
 
+def test_trees_of_any_depth_keep_all_nodes(spark):
+    rows = [(d, p, ".".join(["1"] * p), f"t{p}", p) for d in (1, 2) for p in range(1, 151)] + [(3, 1, "1", "only", 1)]
+    built = tree.number(tree.paths(tree.parent_positions(spark.createDataFrame(rows, ITEMS)))).collect()
+    assert len(built) == 301 and all(r.depth == r.pos and r.path == list(range(1, r.pos + 1)) and r.node_id == f"{r.pos:04d}" for r in built)
+    assert tree.paths(tree.parent_positions(spark.createDataFrame([], ITEMS))).count() == 0
+
+
 def test_boundaries_preface_and_ranges(spark):
     rows = [(1, 1, "1", "a", 1, "yes"), (1, 2, "2", "b", 5, "no"), (1, 3, "3", "c", 5, "yes"), (1, 4, "4", "d", None, "yes"), (2, 1, "1", "x", 5, "yes")]
     items = spark.createDataFrame(rows, ITEMS + ", appear_start string")
