@@ -80,6 +80,9 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it comes in fewer partitions, as from one small file, before work in Python.
 
     Inputs of at least one partition a core, as any large one has, are left as they are: no shuffle.
+    So are inputs that are shuffled anyway, whose partitions are known only by running them.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
