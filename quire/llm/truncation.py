@@ -266,7 +266,7 @@ def truncated(df: DataFrame, key: str, text: str, title: str | None = None) -> D
 
 def shares(df: DataFrame, found: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """``(source, values, truncated, share)``: how often each source truncates, null sources included."""
-    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(source).alias("source")).dropDuplicates(["k"])
+    rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(source).alias("source"))
     marks = found.select(F.col(key).alias("k"), F.lit(1).alias("was_cut"))
     out = rows.join(marks, "k", "left").groupBy("source")
     counted = out.agg(F.count(F.lit(1)).alias("values"), F.count("was_cut").alias("truncated"))

@@ -57,7 +57,7 @@ def test_only_oversized_texts_come_out_in_pieces(spark):
     assert pieces.pieces(df.limit(0), "pair_id", "document_text").count() == 0
 
 
-ALIKE = [("Ｆｕｌｌ wide", "Full wide"), ("café", "café"), ("soft­hy", "softhy"), ("a b", "a b"), ("ﬁne", "fine"), ("Неllo", "Hello"), ("z‍w", "zw"), ("ο", "o"), ("Ⅷ", "VIII")]
+ALIKE = [("Ｆｕｌｌ wide", "Full wide"), ("café", "café"), ("soft­hy", "softhy"), ("a b", "a b"), ("ﬁne", "fine"), ("Неllo", "Hello"), ("z‍w", "zw"), ("ο", "o"), ("Ⅷ", "VIII"), ("Ꭺlpha", "Alpha"), ("αlpha", "alpha"), ("νaρor", "vapor"), ("dıgit", "digit"), ("ӏine", "line"), ("ꓡisu", "Lisu"), ("a\u3164b\uffa0c\u115f", "abc"), ("ё", "ë")]
 APART = [("x²", "x2"), ("Case", "case"), ("résumé", "resume"), ("l", "I"), ("0", "O"), ("a b", "ab"), ("①", "1"), ("½", "1/2"), ("œ", "oe")]
 
 
