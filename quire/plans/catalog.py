@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import json_text, text
 from quire.operators import chunk, markdown, search, toc, tree, verify
+from quire.completion import prompts
 from quire.plans import training
 from quire.plans.build import FAILED, TreeBuilder
 from quire.sources import pages as page_source
@@ -282,6 +283,50 @@ def normalize_items(spark: SparkSession, d: str) -> DataFrame:
     return toc.normalize_items(items(spark, d).withColumn("physical_index", F.when(F.col("pos") % 2 == 0, tagged).otherwise(F.col("physical_index").cast("string"))))
 
 
+def _kinds(kinds: list[Column]) -> Column:
+    """One of some texts for each event, in turn."""
+    return F.coalesce(*[F.when(F.col("event_id") % len(kinds) == n, k) for n, k in enumerate(kinds)])
+
+
+@query("SELECT event_id, event_id % 7 IN (0, 1, 2, 3) AS yes FROM events")
+def yes_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of a reply in the ways that models write them."""
+    events = table(spark, d, "events")
+    kinds = [F.lit('{"answer": "yes"}'), F.lit('```json\n{"answer": "YES"}\n```'), F.lit('{"answer": " Yes\\n",}'), F.lit("so: {'answer': 'yes'}"), F.lit('{"answer": "no"}'), F.lit("{}"), F.lit("none")]
+    return events.select("event_id", json_text.is_yes(F.get_json_object(json_text.repair_json(_kinds(kinds)), "$.answer")).alias("yes"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 't' ELSE '' END AS thinking,
+    CASE event_id % 5 WHEN 0 THEN printf('%04d,%04d', event_id, event_id + 1) WHEN 1 THEN CAST(event_id + 1 AS VARCHAR) ELSE '' END AS node_ids FROM events""")
+def node_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of search replies: texts, numbers and empty ones, a list instead of an object, garbage."""
+    events = table(spark, d, "events")
+    n = F.col("event_id")
+    two = F.format_string('{"thinking": "t", "node_list": ["%04d", null, "", "%04d"]}', n, n + 1)
+    one = F.format_string('```json\n{"node_list": [%d],}\n```', n + 1)
+    kinds = [two, one, F.lit('["0001"]'), F.lit("no reply"), F.lit('{"node_list": []}')]
+    read = json_text.node_list(json_text.repair_json(_kinds(kinds)))
+    return events.select("event_id", read["thinking"].alias("thinking"), F.array_join(read["node_ids"], ",").alias("node_ids"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'T' || event_id || ',U' ELSE '' END AS titles FROM events")
+def toc_envelopes(spark: SparkSession, d: str) -> DataFrame:
+    """Titles of replies that are a list, an object around one, an object without, or garbage."""
+    events = table(spark, d, "events")
+    items = F.format_string('[{"structure": "1", "title": "T%d"}, {"title": "U", "page": 3},]', F.col("event_id"))
+    kinds = [items, F.concat(F.lit('{"table_of_contents": '), items, F.lit("}")), F.lit('{"other": 1}'), F.lit("none")]
+    read = json_text.toc_envelope(json_text.repair_json(_kinds(kinds)))
+    return events.select("event_id", F.array_join(F.transform(read, lambda i: i["title"]), ",").alias("titles"))
+
+
+@query("SELECT run_id, arxiv_id || '.v1' AS name FROM batch_runs WHERE arxiv_id IS NOT NULL AND NOT contains(arxiv_id, '/') GROUP BY ALL")
+def document_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names out of paths, without folders and the last extension."""
+    runs = table(spark, d, "batch_runs").where("arxiv_id is not null and not contains(arxiv_id, '/')").select("run_id", "arxiv_id").distinct()
+    path = F.concat(F.lit("file:/papers/2026/"), "arxiv_id", F.lit(".v1.PDF"))
+    return runs.select("run_id", page_source.document_name(path).alias("name"))
+
+
 # Pages and chunks.
 
 
@@ -310,6 +355,14 @@ def group_pages(spark: SparkSession, d: str) -> DataFrame:
     return chunk.group_pages(doc_pages(spark, d), 300, 1).withColumn("text_md5", F.md5("text")).drop("text")
 
 
+@query(f"""WITH {DOC_PAGES}, tagged AS (SELECT doc_id, page_number, '<physical_index_' || page_number || '>' || chr(10) || text || chr(10) || '<physical_index_' || page_number || '>' || chr(10) || chr(10) AS text FROM doc_pages)
+    SELECT doc_id, CAST(1 AS INT) AS group_no, CAST(min(page_number) AS INT) AS first_page, CAST(max(page_number) AS INT) AS last_page,
+           CAST(sum({TOKENS('text')}) AS BIGINT) AS tokens, md5(string_agg(text, '' ORDER BY page_number)) AS text_md5 FROM tagged GROUP BY doc_id""")
+def tagged_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Tagged pages in the groups that the section-list stages read, each document within one budget."""
+    return chunk.group_page_contents(doc_pages(spark, d), 1_000_000, 1).withColumn("text_md5", F.md5("text")).drop("text")
+
+
 # Section lists.
 
 
@@ -558,6 +611,22 @@ def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return records.pending(rows, table(spark, d, "batch_runs").where("outcome = 'ok'"), table(spark, d, "error_records"), "arxiv_id").select("pair_id", "arxiv_id")
 
 
+@query("""SELECT arxiv_id FROM (SELECT DISTINCT arxiv_id FROM training WHERE arxiv_id IS NOT NULL AND arxiv_id NOT IN (SELECT arxiv_id FROM error_records WHERE arxiv_id IS NOT NULL))
+    ORDER BY arxiv_id LIMIT 25""")
+def pending_first(spark: SparkSession, d: str) -> DataFrame:
+    """The first 25 papers by id that have not failed: what a limited run takes next."""
+    papers = table(spark, d, "training").where("arxiv_id is not null").select("arxiv_id").distinct()
+    return records.pending(papers, papers.limit(0), table(spark, d, "error_records"), "arxiv_id", 25)
+
+
+@query("""SELECT count(*) FILTER (WHERE outcome <> 'error') AS processed, count(*) FILTER (WHERE outcome = 'error') AS errors, CAST(7 AS BIGINT) AS skipped, count(*) + 7 AS total
+    FROM (SELECT DISTINCT run_id, outcome FROM batch_runs WHERE outcome IS NOT NULL)""")
+def job_progress(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of a job over the logged runs, seven skipped."""
+    runs = table(spark, d, "batch_runs").where("outcome is not null").select("run_id", "outcome").distinct()
+    return records.progress(runs.withColumn("error", F.when(F.col("outcome") == "error", "failed")), 7)
+
+
 @query("""SELECT model, count(*) FILTER (outcome = 'ok') AS processed, count(*) FILTER (outcome = 'error') AS errors, count(*) FILTER (outcome = 'skipped') AS skipped,
     count(*) AS total, sum(page_count) AS pages, sum(node_count) AS nodes FROM (SELECT DISTINCT run_id, model, outcome, page_count, node_count FROM batch_runs) GROUP BY model""")
 def batch_status(spark: SparkSession, d: str) -> DataFrame:
@@ -640,6 +709,56 @@ def treegen_examples(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("doc_id").alias("pair_id"), said(0).alias("role"), F.md5(said(1)).alias("text_md5"), F.md5(said(2)).alias("tree_md5"))
 
 
+# The stages of the pipeline one by one, over the papers.
+
+
+@query(rf"""WITH {ITEMS}, {PAPERS}, seen AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^.*\S[ .]{{2,}}\d+\s*$')) AS listed
+        FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM papers WHERE page_number = 1) GROUP BY doc_id)
+    SELECT k.doc_id, CASE WHEN listed >= 3 THEN 'toc_with_pages' ELSE 'no_toc' END AS mode, CASE WHEN listed >= 3 THEN 'yes' ELSE 'no' END AS page_index_given,
+           CASE WHEN listed >= 3 THEN md5((SELECT text FROM papers p WHERE p.doc_id = k.doc_id AND page_number = 1)) END AS toc_md5
+    FROM kinds k LEFT JOIN seen USING (doc_id)""")
+def detect_toc(spark: SparkSession, d: str) -> DataFrame:
+    """Which papers hold a table of contents, its text, and whether it gives pages."""
+    found = TreeBuilder().detect_toc(paper_pages(spark, d))
+    return found.select("doc_id", "mode", "page_index_given", F.md5("toc_content").alias("toc_md5"))
+
+
+def _listed(spark: SparkSession, d: str, mode: str, kind: int) -> DataFrame:
+    pages = paper_pages(spark, d)
+    pages = pages.where(F.col("doc_id") % 3 == kind)
+    builder = TreeBuilder()
+    docs = builder.detect_toc(pages).where("toc_content is not null" if kind else "toc_content is null")
+    return builder.sections(mode, docs, pages)[0].select("doc_id", "pos", "structure", "title", "physical_index")
+
+
+@query(rf"WITH {ITEMS}, {PAPERS}, {BUILT} SELECT doc_id, pos, structure, title, physical_index FROM found WHERE doc_id % 3 = 1")
+def index_toc(spark: SparkSession, d: str) -> DataFrame:
+    """Entries of a table of contents with the page that holds them, from one question a group of pages."""
+    return _listed(spark, d, "toc_with_pages", 1)
+
+
+@query(rf"WITH {ITEMS}, {PAPERS}, {BUILT} SELECT doc_id, pos, structure, title, physical_index FROM found WHERE doc_id % 3 = 1")
+def fold_toc(spark: SparkSession, d: str) -> DataFrame:
+    """The same entries from the sequential fold for tables whose page numbers are not used."""
+    return _listed(spark, d, "toc_no_pages", 1)
+
+
+@query(rf"WITH {ITEMS}, {PAPERS}, {BUILT} SELECT doc_id, pos, structure, title, physical_index FROM found WHERE doc_id % 3 = 0")
+def fold_headings(spark: SparkSession, d: str) -> DataFrame:
+    """Sections from the sequential fold over the pages of papers without a table of contents."""
+    return _listed(spark, d, "no_toc", 0)
+
+
+@query(rf"""WITH RECURSIVE {ITEMS}, {PAPERS}, {BUILT} SELECT p.doc_id, p.pos, p.title, p.physical_index, p.appear_start FROM prefaced p""")
+def started_sections(spark: SparkSession, d: str) -> DataFrame:
+    """The verified lists of all papers with a preface where one is missing, and which sections begin their page."""
+    builder, pages = TreeBuilder(), paper_pages(spark, d)
+    items, _ = builder.section_lists(pages)
+    started = builder.checked(items, pages, "title_at_start", prompts.title_at_start, "start_begin")
+    started = started.withColumn("appear_start", F.when(F.col("ok"), "yes").otherwise("no"))
+    return toc.add_preface(started).select("doc_id", "pos", "title", "physical_index", "appear_start")
+
+
 FAILED_SQL = FAILED.replace("'", "''")
 
 
