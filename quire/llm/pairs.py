@@ -26,7 +26,7 @@ from quire.llm.truncation import CLOSED, is_empty, masked, truncated, visible
 from quire.runtime import cut, spread
 
 SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 16, 4
-BLOCK, PAIRWISE = 2_000, 64
+BLOCK = 10_000
 UNRELATED = 3
 MAX_ASK_WORDS = 9
 CACHED_WORDS = 200_000
@@ -249,50 +249,34 @@ def features(df: DataFrame) -> DataFrame:
 def links(held: list[np.ndarray]) -> list[tuple[int, int]]:
     """Places of pairs of similarity ``SIMILARITY`` or more that connect all texts connected by such pairs.
 
-    Every text is compared with all before it, pair by pair in a small group, and through lists of
-    the texts that hold a shingle in a large one; of the similar ones, one of each part connected so
-    far is linked.
+    A text is compared with the members of each part connected so far until one is similar, the last
+    similar one of a part first: many copies of one template cost one comparison each, and only texts
+    that are similar to none meet all others.
     """
-    return _links_by_pair(held) if len(held) <= PAIRWISE else _links_by_list(held)
-
-
-def _links_by_pair(held: list[np.ndarray]) -> list[tuple[int, int]]:
     sets = [frozenset(own.tolist()) for own in held]
-    part = list(range(len(held)))
+    parts: list[list[int]] = []
     out = []
     for at, own in enumerate(sets):
-        joined: set[int] = set()
-        for i in range(at):
-            other = sets[i]
-            if part[i] in joined or min(len(own), len(other)) < SIMILARITY * max(len(own), len(other)):
-                continue
-            both = len(own & other)
-            if both >= SIMILARITY * (len(own) + len(other) - both):
-                out.append((at, i))
-                joined.add(part[i])
+        size = len(own)
+        joined = []
+        for place, part in enumerate(parts):
+            for j, i in enumerate(part):
+                other = sets[i]
+                if min(size, len(other)) < SIMILARITY * max(size, len(other)):
+                    continue
+                both = len(own & other)
+                if both >= SIMILARITY * (size + len(other) - both):
+                    out.append((at, i))
+                    joined.append(place)
+                    part[0], part[j] = part[j], part[0]
+                    break
         if joined:
-            part[:at] = [at if p in joined else p for p in part[:at]]
-    return out
-
-
-def _links_by_list(held: list[np.ndarray]) -> list[tuple[int, int]]:
-    holders: dict[int, list[int]] = {}
-    sizes = np.zeros(len(held), dtype=np.int64)
-    group = np.arange(len(held))
-    out = []
-    for at, own in enumerate(held):
-        sizes[at] = len(own)
-        lists = [holders.setdefault(h, []) for h in own.tolist()]
-        shared = [i for owners in lists for i in owners]
-        if shared:
-            both = np.bincount(shared, minlength=at)
-            near = np.flatnonzero(both >= SIMILARITY * (sizes[:at] + len(own) - both))
-            groups, first = np.unique(group[near], return_index=True)
-            if len(groups):
-                out += [(at, int(i)) for i in near[first]]
-                group[: at + 1][np.isin(group[: at + 1], groups)] = at
-        for owners in lists:
-            owners.append(at)
+            first = parts[joined[0]]
+            for place in reversed(joined[1:]):
+                first.extend(parts.pop(place))
+            first.append(at)
+        else:
+            parts.append([at])
     return out
 
 

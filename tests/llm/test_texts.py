@@ -324,13 +324,18 @@ def test_templates_are_refusals_whatever_their_words_and_length(spark):
     assert got == {10: "refusal", 11: "refusal", 12: "refusal", 13: "refusal", 20: "refusal", 21: "refusal"}
 
 
-def test_both_ways_of_linking_connect_the_same():
+def test_links_connect_what_is_similar_and_templates_cost_little():
+    import time
+
     rng = random.Random(2)
     base = [f"w{i}" for i in range(30)]
-    texts = [" ".join(base[rng.randrange(4) : rng.randrange(20, 31)] + [f"t{rng.randrange(3)}"]) for _ in range(60)]
-    held = [pairs.shingles(t) for t in texts]
-    parts = [classes(range(60), way(held)) for way in (pairs._links_by_pair, pairs._links_by_list)]
-    assert parts[0] == parts[1] == classes(range(60), [(a, b) for a in range(60) for b in range(a) if similar(texts[a], texts[b])])
+    for _ in range(20):
+        texts = [" ".join(base[rng.randrange(4) : rng.randrange(20, 31)] + [f"t{rng.randrange(3)}"]) for _ in range(60)]
+        held = [pairs.shingles(t) for t in texts]
+        assert classes(range(60), pairs.links(held)) == classes(range(60), [(a, b) for a in range(60) for b in range(a) if similar(texts[a], texts[b])])
+    held = [pairs.shingles(" ".join([*base, f"x{i}"])) for i in range(20_000)]
+    began = time.perf_counter()
+    assert len(pairs.links(held)) == 19_999 and time.perf_counter() - began < 5
 
 
 def test_openings_cluster_by_verified_similarity(spark):
