@@ -60,7 +60,7 @@ def skeleton(text: str) -> str:
     if text.isascii():
         return text
     table, text = prototypes(), unicodedata.normalize("NFD", text)
-    found = [c for c in set(text) if not c.isascii() and ord(c) in table]
+    found = [c for c in set(text) if c > "\x7f" and ord(c) in table]
     if not found:
         return text
     for char in found:
