@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from quire.functions import json_text, text
 from quire.operators import chunk, markdown, search, toc, tree, verify
 from quire.completion import prompts
+from quire.completion.base import req_id
+from quire.completion.offline import ReplayCompleter
+from quire.config import Settings
 from quire.plans import training
-from quire.plans.build import FAILED, TreeBuilder
+from quire.plans.build import FAILED, TreeBuilder, prompt_column
 from quire.sources import pages as page_source
 from quire.sources import records
-from quire.runtime import table
+from quire.runtime import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -759,6 +762,61 @@ def started_sections(spark: SparkSession, d: str) -> DataFrame:
     return toc.add_preface(started).select("doc_id", "pos", "title", "physical_index", "appear_start")
 
 
+@query("""WITH k AS (SELECT n_regionkey + 1 AS doc_id, n_nationkey AS n, CAST(-1 AS BIGINT) AS s, n_name AS title FROM nation
+        UNION ALL SELECT n_regionkey + 1, n_nationkey, s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    p AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n, s) AS INT) AS page FROM k),
+    tops AS (SELECT doc_id, n, min(page) AS lo, max(page) AS hi FROM p GROUP BY doc_id, n),
+    nodes AS (SELECT p.doc_id, title, page AS start_index, CASE WHEN s < 0 THEN hi ELSE page END AS end_index, CASE WHEN s < 0 THEN 1 ELSE 2 END AS depth
+              FROM p JOIN tops t ON t.doc_id = p.doc_id AND t.n = p.n WHERE s < 0 OR hi - lo + 1 > 2)
+    SELECT CAST(doc_id AS BIGINT) AS doc_id, printf('%04d', row_number() OVER (PARTITION BY doc_id ORDER BY start_index)) AS node_id, title, start_index, end_index, depth FROM nodes""")
+def subdivide(spark: SparkSession, d: str) -> DataFrame:
+    """Regions as documents with nations as sections, of which the large ones get their suppliers' pages as children."""
+    nations, suppliers = table(spark, d, "nation"), table(spark, d, "supplier")
+    doc = (F.col("n_regionkey") + 1).cast("long").alias("doc_id")
+    none = F.lit(None).cast("long").alias("s")
+    one = nations.select(doc, F.col("n_nationkey").alias("n"), none, F.col("n_name").alias("title"))
+    two = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(doc, F.col("n_nationkey").alias("n"), F.col("s_suppkey").alias("s"), F.col("s_name").alias("title"))
+    order = Window.partitionBy("doc_id").orderBy("n", F.col("s").asc_nulls_first())
+    structure = F.concat_ws(".", (F.col("n") + 1).cast("string"), (F.col("s") + 1).cast("string")).alias("structure")
+    placed = one.union(two).select("*", F.row_number().over(order).alias("page_number"), structure)
+    page = F.concat("title", F.lit("\n"), "structure", F.lit(" "), "title", F.lit("\nWhat follows belongs to it."))
+    pages = placed.select("doc_id", "page_number", page.alias("text")).withColumn("token_count", text.count_tokens(F.col("text")))
+    tops = placed.where("s is null").select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("n")).alias("pos"), "structure", "title", F.col("page_number").alias("physical_index"))
+    nodes = TreeBuilder(Settings(max_pages_per_node=2, max_tokens_per_node=1)).assemble(tops, pages)
+    return tree.number(nodes).select("doc_id", "node_id", "title", "start_index", "end_index", "depth")
+
+
+def _replayed(rows: DataFrame, prompt: Column, reply: Column) -> TreeBuilder:
+    """A builder whose model answers just the prompts of ``rows``; any other prompt is a miss."""
+    recorded = rows.select(req_id("replay", prompt).alias("req_id"), reply.alias("text"), F.lit("stop").alias("finish_reason"))
+    return TreeBuilder(completer=ReplayCompleter(recorded, recorded.limit(0)))
+
+
+@query(f"""{TREE} SELECT CAST(q.doc_id * 1000 + q.pos AS BIGINT) AS query_id, q.doc_id, 'by title' AS thinking, min(q.node_id) OVER (PARTITION BY q.doc_id, q.title) || ',9999,0001' AS node_ids,
+    2 AS known FROM numbered q WHERE q.title IS NOT NULL""")
+def recorded_search(spark: SparkSession, d: str) -> DataFrame:
+    """Searches answered by a recorded model that saw the question and the whole tree; unknown ids fall away when resolved."""
+    nodes = trees(spark, d)
+    structures = tree.to_json(nodes, ("title", "node_id", "summary"))
+    asked = questions(nodes)
+    first = nodes.groupBy("doc_id", F.col("title").alias("question")).agg(F.min("node_id").alias("node_id"))
+    rows = asked.join(structures, "doc_id").join(first, ["doc_id", "question"])
+    reply = F.format_string('```json\n{"thinking": "by title", "node_list": ["%s", "9999", "0001"]}\n```', "node_id")
+    builder = _replayed(rows, prompt_column(prompts.search, F.col("question"), F.col("structure")), reply)
+    found = cut(builder.search(asked, nodes))
+    known = tree.resolve(found, nodes).groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("known"))
+    return found.join(known, "query_id").select("query_id", "doc_id", "thinking", F.array_join("node_ids", ",").alias("node_ids"), "known")
+
+
+@query(f"{TREE} SELECT doc_id, 'Document ' || doc_id || ' in short.' AS doc_description FROM numbered GROUP BY doc_id")
+def recorded_description(spark: SparkSession, d: str) -> DataFrame:
+    """Descriptions by a recorded model that saw the tree with its ranges, without text."""
+    nodes = trees(spark, d)
+    structures = tree.to_json(nodes, ("title", "start_index", "end_index", "node_id", "summary"))
+    reply = F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" in short."))
+    return _replayed(structures, prompt_column(prompts.describe, F.col("structure")), reply).describe(nodes)
+
+
 FAILED_SQL = FAILED.replace("'", "''")
 
 
