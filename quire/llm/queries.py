@@ -211,7 +211,7 @@ _USABLE = "t IS NOT NULL AND NOT isnan(t) AND t >= 0 AND t < 'infinity'::DOUBLE"
 
 
 # For the SQL alone, written down from the tables and not from the operator's table: letters of other scripts there, and what they look like.
-_SEEN, _SHOWN = "АВЕКМНОРСТХаеорсухѕіΑΒΕΖΗΙΚΜΝΟΡΤΧο", "ABEKMHOPCTXaeopcyxsiABEZHIKMNOPTXo"
+_SEEN, _SHOWN = "АВЕКМНОРСТХЅІЈаеорсухѕіјΑΒΕΖΗΙΚΜΝΟΡΤΥΧο", "ABEKMHOPCTXSIJaeopcyxsijABEZHIKMNOPTYXo"
 
 
 def _skeleton_sql(column: str) -> str:
