@@ -76,8 +76,8 @@ def document_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
-def read_pdf(spark: SparkSession, folder: str | list[str], max_pages: int | None = None, readers: Callable[[], list[Extract]] = extractors, prefer_second: bool = False) -> DataFrame:
-    """``(doc_id, page_number, text, token_count, doc_name, error)`` of all PDF files in a folder, or of some paths.
+def pdf_pages(files: DataFrame, max_pages: int | None = None, readers: Callable[[], list[Extract]] = extractors, prefer_second: bool = False) -> DataFrame:
+    """``(doc_id, page_number, text, token_count, doc_name, error)`` of ``files(doc_id, doc_name, content)``.
 
     Files that do not start like a PDF, cannot be read or have more than ``max_pages`` give one row
     with ``error`` and no page. Unpaired surrogates are replaced.
@@ -99,10 +99,15 @@ def read_pdf(spark: SparkSession, folder: str | list[str], max_pages: int | None
                     rows = [(doc, None, None, name, f"{type(error).__name__}: {error}")]
                 yield pd.DataFrame(rows, columns=columns).astype({"page_number": "Int32"})
 
+    pages = files.select("doc_id", "doc_name", "content").mapInPandas(run, "doc_id long, page_number int, text string, doc_name string, error string")
+    return pages.withColumn("token_count", count_tokens(F.col("text")))
+
+
+def read_pdf(spark: SparkSession, folder: str | list[str], max_pages: int | None = None, readers: Callable[[], list[Extract]] = extractors, prefer_second: bool = False) -> DataFrame:
+    """``pdf_pages`` of all PDF files in a folder, or of some paths."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(folder)
     named = files.select(F.xxhash64("path").alias("doc_id"), document_name(F.col("path")).alias("doc_name"), "content")
-    pages = named.mapInPandas(run, "doc_id long, page_number int, text string, doc_name string, error string")
-    return pages.withColumn("token_count", count_tokens(F.col("text")))
+    return pdf_pages(named, max_pages, readers, prefer_second)
 
 
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:

@@ -322,6 +322,32 @@ def test_pdf_pages_and_their_gate(spark, tmp_path):
     assert next(r for r in rows if r.page_number == 1).text == "page ? one"
 
 
+def test_papers_come_from_a_feed(spark):
+    from quire.sources import feed
+
+    def get(url):
+        if "query?" in url:
+            if "cat:cs.LG" in url:
+                raise OSError("no answer")
+            start = int(url.split("start=")[1].split("&")[0])
+            names = [f"2401.{start + n:05d}v1" for n in range(int(url.split("max_results=")[1].split("&")[0]))]
+            entry = '<entry><id>http://arxiv.org/abs/{0}</id><title>On\n {0}</title>{1}</entry>'
+            link = '<link type="application/pdf" href="http://x/{0}"/>'
+            return ('<feed xmlns="http://www.w3.org/2005/Atom">' + "".join(entry.format(n, link.format(n) if i else "") for i, n in enumerate(names)) + "</feed>").encode()
+        return {"00000v1": b"%PDF-1", "00001v1": b"<html>", "00002v1": b"%PDF-long"}[url[-7:]]
+
+    listed = feed.list_papers(spark, 60, ("cs.AI", "cs.LG"), get, 0).collect()
+    good = [r for r in listed if r.error is None]
+    assert len(good) == 60 and good[0].title == "On 2401.00000v1" and good[0].url == "https://arxiv.org/pdf/2401.00000v1" and good[1].url == "http://x/2401.00001v1"
+    assert [r.error for r in listed if r.error] == ["OSError: no answer"] * 2
+    papers = spark.createDataFrame([(r.arxiv_id, r.url) for r in good[:3]] * 2 + [(None, "x")], "arxiv_id string, url string")
+    readers = lambda: [lambda data: ["page"] * (40 if b"long" in data else 2)]
+    got = {r.arxiv_id: r for r in feed.download(papers, get, 0, readers=readers).collect()}
+    assert len(got) == 3 and got["2401.00000v1"].pages == 2 and got["2401.00001v1"].error == "ValueError: not a PDF file" and got["2401.00002v1"].error == "ValueError: more than 30 pages"
+    files = feed.download(papers, get, 0, readers=readers).where("error is null").select(F.xxhash64("arxiv_id").alias("doc_id"), F.col("arxiv_id").alias("doc_name"), "content")
+    assert [r.page_number for r in page_source.pdf_pages(files, readers=readers).orderBy("page_number").collect()] == [1, 2]
+
+
 def test_markdown_files_and_records(spark, tmp_path):
     (tmp_path / "n.md").write_text("# T\nx")
     assert [(r.doc_name, r.content) for r in page_source.read_markdown(spark, str(tmp_path)).collect()] == [("n", "# T\nx")]
